@@ -1,10 +1,10 @@
 """Evaluation passages inside training texts (problem 7), by a positional inverted index.
 
 Method. Both sides are read as the same sequence of words: case, punctuation, markup, quote signs, spacing and hyphens
-(also those at line ends) are taken away. The index holds a posting (term, document, position) for the rarest terms of
-the items: of every window of ``window`` words the ``anchors`` rarest by corpus frequency, so that a passage with the
-allowed changed words keeps some of them. The lists are intersected after the item's offset is subtracted: postings on
-one diagonal of (document, item) within a window's reach are candidates. Each candidate is then verified word by word:
+(also those at line ends) are taken away. A term is three words in a row. The index holds a posting (term, document,
+position) for every term; it is read for the rarest terms of the items by corpus frequency, chosen so densely and
+without overlap that a passage with the allowed changed words keeps at least one. The lists are intersected after the
+item's offset is subtracted: what lies on one diagonal of (document, item) is a candidate. Each is then verified word by word:
 a run of at least ``window`` item words in which at most one in ``changed`` differs. Wording of nine words or more that
 stands in ``shared_items`` items or more does not count towards the length.
 
@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.session import checkpoint, spread
 
 WORD = r"[\p{L}\p{N}]+"
+TERM = 3
 #: Taken away, in this order: tags, entities of spaces, hyphens inside words (with line ends), apostrophes inside words.
 STEPS = (
     (r"<[^<>]{1,200}>", " "),
@@ -63,23 +64,28 @@ def item_table(items: DataFrame, item_id: str, text: str, shared_items: int, shi
     )
 
 
-def _choose(key_words: list[str], shared: list[bool], df: dict[str, int], window: int, anchors: int) -> list[int]:
-    order = sorted(range(len(key_words)), key=lambda i: (shared[i], df.get(key_words[i], 0), i))
-    rank = {p: r for r, p in enumerate(order)}
-    out: set[int] = set()
-    for at in range(max(1, len(key_words) - window + 1)):
-        out.update(sorted(range(at, min(at + window, len(key_words))), key=rank.__getitem__)[:anchors])
-    return sorted(out)
+def _choose(grams: list[int], shared: list[bool], df: dict[int, int]) -> list[int]:
+    """Start positions of the anchors: from each four words the rarer of the two terms that lie wholly within them.
 
+    Anchors do not overlap, so a changed word spoils one at most, and 18 words hold four whole ones."""
+    out = []
+    for at in range(0, len(grams), 4):
+        pair = [i for i in (at, at + 1) if i < len(grams) and not all(shared[i : i + TERM])]
+        if pair:
+            out.append(min(pair, key=lambda i: (df.get(grams[i], 0), i)))
+    return out
+
+
+def _verify(local: dict, window: int, changed: int):
+    items = {k: (np.asarray(words, object), np.asarray(shared, bool)) for k, (words, shared) in local.items()}
 
-def _verify(window: int, changed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc, words, cands in zip(pdf["doc"], pdf["words"], pdf["cands"]):
                 words = np.asarray(words, object)
                 for c in cands:
-                    item, shared, diag = np.asarray(c["words"], object), np.asarray(c["shared"], bool), c["diag"]
+                    (item, shared), diag = items[c["item"]], c["diag"]
                     lo, hi = max(0, -diag), min(len(item), len(words) - diag)
                     if hi - lo < window:
                         continue
@@ -114,32 +120,34 @@ def best_run(same: np.ndarray, shared: np.ndarray, window: int, changed: int) ->
     return best
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 18, changed: int = 8, anchors: int = 5, shared_items: int = 3) -> DataFrame:
+def _terms(words: F.Column) -> F.Column:
+    """Hashes of the terms of three words, by position."""
+    n = F.size(words) - TERM
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])))
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 18, changed: int = 8, shared_items: int = 3) -> DataFrame:
     """(doc_id, item_id, at, words): the longest verified run of each leaked item in each document, from word ``at`` on."""
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter("doc is not null and text <> ''")
     docs = spread(docs, "doc")
     item = checkpoint(item_table(items, item_id, item_text, shared_items))
-    local = item.collect()  # bounded by max_item_words
-    vocabulary = item.select(F.explode("words").alias("term")).distinct()
-    postings = docs.select("doc", F.posexplode(words_of("text")).alias("pos", "term")).join(F.broadcast(vocabulary), "term", "left_semi")
-    df = {r[0]: r[1] for r in postings.groupBy("term").agg(F.count("*")).collect()}  # one row for each item term
-    chosen = [(r["item"], i, r["words"][i]) for r in local for i in _choose(r["words"], r["shared"], df, window, anchors)]
-    spark = documents.sparkSession
-    schema = f"item {item.schema['item'].dataType.simpleString()}, ipos int, term string"
-    anchor = spark.createDataFrame(chosen, schema)
-    # postings of the anchors, intersected on the diagonal; hits of one diagonal further apart than a window do not help
-    index = docs.select("doc", F.posexplode(words_of("text")).alias("pos", "term"))
-    hits = index.join(F.broadcast(anchor), "term").select("doc", "item", (F.col("pos") - F.col("ipos")).alias("diag"), "pos")
-    before = F.lag("pos").over(Window.partitionBy("doc", "item", "diag").orderBy("pos"))
-    cands = hits.withColumn("gap", F.col("pos") - before).filter(F.col("gap").between(1, window - 1)).select("doc", "item", "diag").distinct()
-    per_doc = cands.join(F.broadcast(item), "item").groupBy("doc").agg(F.collect_list(F.struct("item", "diag", "words", "shared")).alias("cands"))
-    checked = (
-        docs.join(per_doc, "doc").select("doc", words_of("text").alias("words"), "cands")
-        .mapInPandas(_verify(window, changed), f"doc {docs.schema['doc'].dataType.simpleString()}, item {item.schema['item'].dataType.simpleString()}, at int, words int")
+    local = item.withColumn("grams", _terms(F.col("words"))).collect()  # bounded by max_item_words
+    vocabulary = item.select(F.explode(_terms(F.col("words"))).alias("term")).distinct()
+    index = docs.select("doc", words_of("text").alias("words")).select("doc", F.posexplode(_terms(F.col("words"))).alias("pos", "term"))
+    own = index.join(F.broadcast(vocabulary), "term", "left_semi")
+    df = {r[0]: r[1] for r in own.groupBy("term").agg(F.count("*")).collect()}  # one row for each term of the items
+    chosen = [(r["item"], i, r["grams"][i]) for r in local if r["grams"] for i in _choose(r["grams"], r["shared"], df)]
+    kind = item.schema["item"].dataType.simpleString()
+    anchor = documents.sparkSession.createDataFrame(chosen, f"item {kind}, ipos int, term long")
+    # postings of the anchors, offset by the item's position: all on one diagonal are one candidate
+    cands = index.join(F.broadcast(anchor), "term").select("doc", "item", (F.col("pos") - F.col("ipos")).alias("diag")).distinct()
+    per_doc = cands.groupBy("doc").agg(F.collect_list(F.struct("item", "diag")).alias("cands"))
+    verify = _verify({r["item"]: (r["words"], r["shared"]) for r in local}, window, changed)
+    checked = docs.join(per_doc, "doc").select("doc", words_of("text").alias("words"), "cands").mapInPandas(
+        verify, f"doc {docs.schema['doc'].dataType.simpleString()}, item {kind}, at int, words int"
     )
     return (
         checked.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id))
         .agg(F.max_by(F.struct("at", "words"), F.struct(F.col("words"), -F.col("at"))).alias("b"))
         .select(doc_id, item_id, "b.at", "b.words")
     )
-
