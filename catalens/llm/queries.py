@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalens.llm import clusters, encoding, leakage, packing, secrets, spam, truncation
+from catalens.llm import clusters, encoding, leakage, ocr, packing, secrets, spam, truncation
 from catalens.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: clusters.close_pairs(table(s, d, "images")),
         "p1_clusters": lambda s, d: clusters.cluster_report(table(s, d, "images")),
+        "p2_found": lambda s, d: ocr.page_noise(table(s, d, "ocr")),
+        "p2_repaired": lambda s, d: ocr.repaired_pages(table(s, d, "ocr")),
         "p3_found": lambda s, d: secrets.credential_lines(table(s, d, "document_meta")),
         "p3_redacted": lambda s, d: secrets.redacted_files(table(s, d, "document_meta")),
         "p4_found": lambda s, d: truncation.truncated(table(s, d, "analyses")).select("id"),
