@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LABELS = {"appearance": "appearance", "clothing": "clothing", "action": "action", "position": "position", "seen_at": "seen at"}
 HEAD = ("apparent_age", "gender_presentation")
@@ -99,21 +100,21 @@ def description(answer: str) -> str:
     return (searchable(value) if value is not None else "") or salvage(answer, "summary") or answer.strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def searchable_text(answer: pd.Series) -> pd.Series:
     return answer.map(lambda a: None if a is None else searchable(v) if (v := parse_object(a)) is not None else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def describe(answer: pd.Series) -> pd.Series:
     return answer.map(lambda a: None if a is None else description(a))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def recognised_text(answer: pd.Series) -> pd.Series:
     return answer.map(lambda a: None if a is None else ocr_text(a))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def answer_object(answer: pd.Series) -> pd.Series:
     return answer.map(lambda a: None if (v := parse_object(a)) is None else json.dumps(v, ensure_ascii=False, sort_keys=True))

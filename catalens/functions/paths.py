@@ -76,6 +76,10 @@ class Excludes:
         above = any(self.matches("/".join(parts[:i]), True) for i in range(1, len(parts)))
         return above or self.matches(rel_path, is_dir)
 
+    @staticmethod
+    def _folder_test(rx: str, whole: bool):
+        return lambda folder: (folder if whole else file_name(folder)).rlike(rx)
+
     def column(self, rel_path: Column, is_dir: bool = False) -> Column:
         """The same for a column of relative file paths, without Python in the tasks."""
         tests = []
@@ -84,7 +88,7 @@ class Excludes:
         for rx, only, whole in self.rules:
             if not only or is_dir:
                 tests.append((rel_path if whole else file_name(rel_path)).rlike(rx))
-            tests.append(F.exists(above, lambda d, rx=rx, whole=whole: (d if whole else file_name(d)).rlike(rx)))
+            tests.append(F.exists(above, self._folder_test(rx, whole)))
         return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 

@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Common English words that are not indexed; pass another set where a different list is wanted.
 STOP_WORDS = frozenset(
@@ -18,7 +19,7 @@ def strip_accents(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unaccented(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t if t.isascii() else strip_accents(t))
 
@@ -92,6 +93,6 @@ def porter(w: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem(word: pd.Series) -> pd.Series:
     return word.map(lambda w: None if w is None else porter(w))

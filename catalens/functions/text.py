@@ -7,6 +7,7 @@ import codecs
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalens import schemas as S
 
@@ -41,7 +42,7 @@ def cap_bytes(text: str, limit: int = S.TEXT_CAP_BYTES) -> str:
     return text if len(data) <= limit else data[:limit].decode("utf-8", "ignore")
 
 
-@F.pandas_udf("text string, encoding string")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
 def decode_text(content: pd.Series) -> pd.DataFrame:
     done = [decode_bytes(x) for x in content]
     return pd.DataFrame({"text": [cap_bytes(d[0]) if d else None for d in done], "encoding": [d[1] if d else None for d in done]})

@@ -90,9 +90,10 @@ def load(spark: SparkSession, sf_dir: str) -> Catalogue:
     """The catalogue of a delivery: repeats dropped, the newest state of each file, one satellite row each."""
     files = latest(S.upgrade(table(spark, sf_dir, "files"), "files"), ["id"], ["indexed_at"])
     frames = frames_of(table(spark, sf_dir, "documents"))
-    once = lambda name, source, order: latest(S.upgrade(table(spark, sf_dir, source), name), list(S.KEYS[name]), order)
+    # copies of a satellite row are equal, so any of them will do and no wide column is compared
+    once = lambda name, source: S.upgrade(table(spark, sf_dir, source), name).dropDuplicates(list(S.KEYS[name]))
     return Catalogue(
-        files=files, images=once("images", "images", []), documents=once("documents", "document_meta", []), videos=videos_of(frames), archives=archives_of(files), video_frames=frames,
-        ocr=once("ocr", "ocr", []), tags=table(spark, sf_dir, "tags").filter("tag is not null").dropDuplicates(["file_id", "tag"]).select("file_id", "tag", "source"),
-        analyses=once("analyses", "analyses", ["created_at"]), llm_models=S.upgrade(table(spark, sf_dir, "llm_models"), "llm_models"), jobs=jobs_of(table(spark, sf_dir, "orders")),
+        files=files, images=once("images", "images"), documents=once("documents", "document_meta"), videos=videos_of(frames), archives=archives_of(files), video_frames=frames,
+        ocr=once("ocr", "ocr"), tags=table(spark, sf_dir, "tags").filter("tag is not null").dropDuplicates(["file_id", "tag"]).select("file_id", "tag", "source"),
+        analyses=once("analyses", "analyses"), llm_models=S.upgrade(table(spark, sf_dir, "llm_models"), "llm_models"), jobs=jobs_of(table(spark, sf_dir, "orders")),
     )

@@ -26,8 +26,12 @@ MAX_DELETE_IDS, SAMPLE_ROWS, JOB_ROWS, ERROR_ROWS = 10_000, 20, 100, 50
 PROMPT_VERSIONS = {"image": "img-v2", "video": "video-merge-v2", "ocr": "ocr-v1", "document": "doc-v1"}
 
 
+TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """From "name type, ...", without a session, so that Python workers can import this module."""
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in (x.split() for x in spec.split(", "))])
 
 
 SCHEMAS: dict[str, T.StructType] = {
