@@ -4,8 +4,8 @@ Method. Each distinct hash is a record; its bits become hashed features, weighte
 k-means with parallel oversampled seeding (a few rounds that draw many seeds at once by their distance, weighted and
 reduced to k on the driver, whose input is bounded by rounds x oversampling x k) divides the records into cells of
 about ``cell_size``. In each cell tight clusters of radius ``radius`` are grown around seeds and re-centred. A cluster
-whose members were parted by a cell border is joined again: its most typical member also visits the nearest other
-cells, and clusters whose typical members differ in at most ``radius`` bits become one (components by label
+whose members were parted by a cell border is joined again: its most typical member also visits every other cell that
+can hold a record within ``radius`` bits (``border_reach``), and clusters whose typical members are so near become one (components by label
 propagation, distributed). Cells that stay too large are divided again by the same k-means.
 
 Exact copies are one record until the end, so a hash that a third of all rows share costs nothing.
@@ -122,7 +122,7 @@ def kmeans(points: DataFrame, n: int, k: int, matrix: np.ndarray, rounds: int =
                 np.add.at(total, a, x)
                 count += np.bincount(a, minlength=len(centres))
             used = np.flatnonzero(count)
-            yield pd.DataFrame({"c": used, "n": count[used], "s": list(total[used])})
+            yield pd.DataFrame({"c": used, "n": count[used], "s": pd.Series(list(total[used]), dtype=object)})
 
         new = centres.astype(np.float64).copy()
         got = points.mapInPandas(sums, "c long, n long, s array<double>").groupBy("c").agg(
@@ -162,8 +162,9 @@ def _grow(hashes: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _pairs(key: tuple, pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Typical members of one cell against visitors from other cells, in blocks."""
-    home, guest = (np.sort(pdf.loc[pdf["home"] == h, "phash"].to_numpy(np.int64)).view(np.uint64) for h in (True, False))
+    """Typical members of one cell against each other and against visitors from other cells, in blocks."""
+    home = np.sort(pdf.loc[pdf["home"], "phash"].to_numpy(np.int64)).view(np.uint64)
+    guest = np.sort(pdf["phash"].to_numpy(np.int64)).view(np.uint64)
     a, b = [], []
     for at in range(0, len(guest), 2048):
         i, j = np.nonzero(np.bitwise_count(guest[at : at + 2048, None] ^ home[None, :]) <= radius)
@@ -189,7 +190,22 @@ def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return label
 
 
-def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, cell_size: int = 512, k_max: int = 2048, visits: int = 12, dims: int = 96, oversize: int = 20_000) -> DataFrame:
+def border_reach(centres: np.ndarray, matrix: np.ndarray, radius: int) -> np.ndarray:
+    """(k, k): how much farther than its own centre c another centre c' may be from a record that must visit it.
+
+    Flipping bit i moves a record by v_i and its squared distance to c' less that to c by 2 v_i (c - c'). If two records
+    of different cells differ in at most ``radius`` bits, their two differences of distances add up to at most the sum
+    of the ``radius`` largest such terms, so one of them is at most half of it: that record visits the other's cell."""
+    step = matrix[BITS:] - matrix[:BITS]
+    along = centres @ step.T  # (k, 64)
+    out = np.empty((len(centres), len(centres)), np.float32)
+    for c in range(len(centres)):
+        terms = np.abs(along - along[c])
+        out[c] = np.partition(terms, BITS - radius, axis=1)[:, BITS - radius :].sum(1)
+    return out
+
+
+def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, cell_size: int = 512, k_max: int = 2048, dims: int = 96, oversize: int = 20_000) -> DataFrame:
     """(phash, cluster): every distinct hash with the typical hash of its cluster.
 
     ``k_max`` bounds what is broadcast and collected (k_max x dims floats); beyond k_max x cell_size hashes cells grow,
@@ -205,7 +221,6 @@ def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, c
     points = spread(points, "phash")
     k = max(1, min(k_max, -(-n // cell_size)))
     centres = kmeans(points, n, k, matrix)
-    visits = min(visits, len(centres))
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _blocks(batches):
@@ -235,12 +250,17 @@ def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, c
 
     grown = checkpoint(celled.groupBy("cell").applyInPandas(grow, "phash long, typical long"))
 
+    reach = border_reach(centres, matrix, radius)
+
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _blocks(batches):
             h = pdf["typical"].to_numpy()
             d = _distances(vectors(h, matrix), centres)
-            near = np.argsort(d, axis=1, kind="stable")[:, :visits]
-            yield pd.DataFrame({"phash": np.repeat(h, visits), "cell": near.reshape(-1).astype(np.int64), "home": np.tile(np.arange(visits) == 0, len(h))})
+            home = d.argmin(1)
+            near = d - d[np.arange(len(h)), home][:, None] <= reach[home] + 1e-3
+            near[np.arange(len(h)), home] = True
+            i, c = np.nonzero(near)
+            yield pd.DataFrame({"phash": h[i], "cell": c.astype(np.int64), "home": home[i] == c})
 
     typical = grown.select("typical").distinct()
     guests = typical.mapInPandas(visit, "phash long, cell long, home boolean")
