@@ -278,35 +278,45 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"w": (u // BUCKETS).astype(np.int32), "c": (u % BUCKETS).astype(np.int32), "n": n.astype(np.int64)})
 
 
-def _epoch(vin: np.ndarray, vout: np.ndarray, prior: np.ndarray, rate: float, negatives: int, seed: int):
+def _epoch(vin: np.ndarray, vout: np.ndarray, prior: np.ndarray, rate: float, negatives: int, passes: int, seed: int):
+    """One task's share of an epoch: AdaGrad over its pairs, frequent pairs with more weight; empty tasks give no rows."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = vin.copy(), vout.copy()
+        ga2, gb2 = np.full(BUCKETS, 1e-3, np.float32), np.full(BUCKETS, 1e-3, np.float32)
         seen_a, seen_b = np.zeros(BUCKETS), np.zeros(BUCKETS)
         rng = np.random.default_rng(seed)
+
+        def update(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
+            np.add.at(squares, rows, (grads * grads).mean(1))
+            np.add.at(table, rows, grads * (rate / np.sqrt(squares[rows]))[:, None])
+
         for pdf in batches:
-            order = rng.permutation(len(pdf))
-            w_all, c_all = pdf["w"].to_numpy()[order], pdf["c"].to_numpy()[order]
-            weight = np.minimum(pdf["n"].to_numpy()[order], 1000).astype(np.float32) ** 0.5
-            for at in range(0, len(order), 2048):
-                w, c, x = w_all[at : at + 2048], c_all[at : at + 2048], weight[at : at + 2048]
-                neg = np.searchsorted(prior, rng.random((len(w), negatives))).astype(np.int64)
-                va, vb, vn = a[w], b[c], b[neg]
-                gp = x * (1 - 1 / (1 + np.exp(-np.clip((va * vb).sum(1), -10, 10))))
-                gn = -x[:, None] / (1 + np.exp(-np.clip((va[:, None] * vn).sum(2), -10, 10)))
-                ga = gp[:, None] * vb + (gn[:, :, None] * vn).sum(1)
-                step = rate / (1 + np.sqrt(x))[:, None]
-                np.add.at(a, w, step * ga)
-                np.add.at(b, c, step * gp[:, None] * va)
-                np.add.at(b, neg.reshape(-1), ((step[:, :, None] * gn[:, :, None]) * va[:, None]).reshape(-1, DIMS))
-                np.add.at(seen_a, w, x)
-                np.add.at(seen_b, c, x)
+            weight_all = np.minimum(pdf["n"].to_numpy(), 10_000).astype(np.float32) ** 0.5
+            w_all, c_all = pdf["w"].to_numpy(), pdf["c"].to_numpy()
+            np.add.at(seen_a, w_all, weight_all)
+            np.add.at(seen_b, c_all, weight_all)
+            for _ in range(max(passes, min(200, 100_000 // max(1, len(pdf))))):  # few pairs are seen more often
+                order = rng.permutation(len(pdf))
+                for at in range(0, len(order), 1024):
+                    pick = order[at : at + 1024]
+                    w, c, x = w_all[pick], c_all[pick], weight_all[pick]
+                    neg = np.searchsorted(prior, rng.random((len(w), negatives))).clip(0, BUCKETS - 1)
+                    va, vb, vn = a[w], b[c], b[neg]
+                    gp = x / (1 + np.exp(np.clip((va * vb).sum(1), -10, 10)))
+                    gn = -x[:, None] / (1 + np.exp(-np.clip((va[:, None] * vn).sum(2), -10, 10)))
+                    ga = gp[:, None] * vb + (gn[:, :, None] * vn).sum(1)
+                    gb = np.concatenate([gp[:, None] * va, (gn[:, :, None] * va[:, None]).reshape(-1, DIMS)])
+                    update(a, ga2, w, ga)
+                    update(b, gb2, np.concatenate([c, neg.reshape(-1)]), gb)
         used = np.flatnonzero(seen_a + seen_b)
-        yield pd.DataFrame({"k": used, "wa": seen_a[used], "wb": seen_b[used], "v": list(np.hstack([a[used] * seen_a[used, None], b[used] * seen_b[used, None]]).astype(np.float64))})
+        both = np.hstack([a[used] * seen_a[used, None], b[used] * seen_b[used, None]]).astype(np.float64)
+        yield pd.DataFrame({"k": used, "wa": seen_a[used], "wb": seen_b[used], "v": pd.Series(list(both), dtype=object)})
 
     return run
 
 
-def skip_gram(pages: DataFrame, epochs: int = 3, rate: float = 0.05, negatives: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def skip_gram(pages: DataFrame, epochs: int = 3, rate: float = 0.1, negatives: int = 4, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(in, out): vectors of the hashed words. The tables have BUCKETS x DIMS numbers each, whatever the corpus."""
     pairs = spread(pages, "file_id").mapInPandas(_pairs, "w int, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n"))
     pairs = checkpoint(pairs)
@@ -318,7 +328,7 @@ def skip_gram(pages: DataFrame, epochs: int = 3, rate: float = 0.05, negatives:
     vin = rng.uniform(-0.5 / DIMS, 0.5 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
     vout = np.zeros((BUCKETS, DIMS), np.float32)
     for e in range(epochs):
-        got = pairs.mapInPandas(_epoch(vin, vout, prior, rate, negatives, 17 + e), "k int, wa double, wb double, v array<double>")
+        got = pairs.mapInPandas(_epoch(vin, vout, prior, rate, negatives, passes, 17 + e), "k int, wa double, wb double, v array<double>")
         mean = got.groupBy("k").agg(F.sum("wa"), F.sum("wb"), F.array(*(F.sum(F.col("v")[i]) for i in range(2 * DIMS))))
         for k, wa, wb, v in mean.toLocalIterator():
             v = np.array(v, np.float32)
