@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalens.functions import stemming
 from catalens.operators.catalogue import Catalogue
 from catalens.plans.request import like_pattern
+from catalens.session import checkpoint
 
 K1, B = 1.2, 0.75
 
@@ -52,8 +53,11 @@ class TextIndex:
     stemmed: bool
 
 
-def build(bodies: DataFrame, stem: bool = True, stop_words: frozenset[str] = stemming.STOP_WORDS) -> TextIndex:
-    """Counts are combined in each task first; the stemmer runs over the distinct words, not over every token."""
+def build(bodies: DataFrame, stem: bool = True, stop_words: frozenset[str] = stemming.STOP_WORDS, stored: bool = True) -> TextIndex:
+    """Counts are combined in each task first; the stemmer runs over the distinct words, not over every token.
+
+    ``stored`` writes the postings once (a checkpoint in the shared folder), since scores, document frequencies and
+    lengths all read them."""
     words = bodies.select("file_id", F.explode(tokens(F.col("body"))).alias("word"))
     counted = words.groupBy("word", "file_id").agg(F.count("*").alias("tf"))
     if stop_words:
@@ -63,8 +67,10 @@ def build(bodies: DataFrame, stem: bool = True, stop_words: frozenset[str] = ste
         counted = counted.join(stems, "word").groupBy("term", "file_id").agg(F.sum("tf").alias("tf"))
     else:
         counted = counted.withColumnRenamed("word", "term")
+    if stored:
+        counted = checkpoint(counted)
     lengths = counted.groupBy("file_id").agg(F.sum("tf").alias("len"))
-    totals = bodies.agg(F.count("*").alias("docs")).crossJoin(lengths.agg(F.sum("len").alias("words"))).select("docs", (F.col("words") / F.col("docs")).alias("avgdl"))
+    totals = bodies.select("file_id").agg(F.count("*").alias("docs")).crossJoin(lengths.agg(F.sum("len").alias("words"))).select("docs", (F.col("words") / F.col("docs")).alias("avgdl"))
     return TextIndex(counted, lengths, totals, stem)
 
 
