@@ -201,7 +201,7 @@ def features(line: str, tokens: list[tuple[int, int, str]], above: str = "") ->
         if joined:
             f.append(f"join={joined}|{sh}")
         out.append(f)
-        if kind in ("word", "s", "tag", "url") and re.fullmatch(r"[-$<@/]*[A-Za-z_][\w.\-]*:?(?://[^:]*:)?", text) and (sh in ("lower", "upper", "alpha", "name", "mix", "other", "worddigits") or sh == "ref" and text[0] == "$"):
+        if kind in ("word", "s", "tag", "url") and re.fullmatch(r"[-$<@/]*[A-Za-z_][\w.\-]*:?(?://[^:]*:)?", text) and (sh in ("lower", "upper", "alpha", "name", "mix", "other", "worddigits") or sh == "ref" and text.startswith(("$", "process.env."))):
             names.append(text.strip("-$<@/"))
         # a string that is continued after + or . : the first part's shape tells about the second
         if kind == "s":
@@ -365,7 +365,7 @@ def _token(r: random.Random) -> str:
 def _placeholder_value(r: random.Random) -> str:
     name = r.choice(("DB_PASSWORD", "API_TOKEN", "APP_SECRET", "SMTP_PASS", "TOKEN"))
     return r.choice((
-        "example", "changeme", "TODO", "null", "none", "", "xxxxxxxx", "xxxxxxxxxxxx", "********", "****", "your-token", "your-password", "<your-key-here>", "<password>", "<secret>", "REPLACE_ME", "CHANGE_ME", "dummy", "placeholder",
+        "example", "changeme", "TODO", "null", "none", "", "xxxxxxxx", "xxxxxxxxxxxx", "********", "****", "your-token", "your-password", "<your-key-here>", "<password>", "<secret>", "REPLACE_ME", "REPLACE_ME", "CHANGE_ME", "dummy", "placeholder",
         f"${{{name}}}", f"${name}", "$SECRET_FROM_ENV", f"%{name}%", f"{{{{ vault.{name.lower()} }}}}", "{{ secrets.db_pw }}", f"env:{name}", "file:/run/secrets/db", "/run/secrets/api", "ref+vault://kv/app#pw", "vault:kv/app#token", "redacted", "test", "true", "{pw}",
     ))
 
@@ -407,7 +407,7 @@ def _split(r: random.Random, value: str, secret: bool = True):
     return form, "", [(a, a + cut), (b - len(value) + cut, b)] if secret else []
 
 
-def examples(n: int = 12_000, seed: int = 3) -> list[tuple[str, str, list[tuple[int, int]]]]:
+def examples(n: int = 18_000, seed: int = 3) -> list[tuple[str, str, list[tuple[int, int]]]]:
     """``n`` labelled lines: (text, name above, secret spans)."""
     r = random.Random(seed)
     out = []
@@ -467,12 +467,12 @@ def examples(n: int = 12_000, seed: int = 3) -> list[tuple[str, str, list[tuple[
         else:  # code without credentials
             out.append((r.choice((f"password = get_password({word})", f"token = os.environ['{word.upper()}_TOKEN']", f"api_key = config.api_key", f"def check_password({word}, limit=12):", f"if token == {word}.token:", f"    tokens = tokenizer.encode({word})", f"log.info(\"token expired for %s\", {word})", f"import {word}_key",
                                     f"const apiKeyHeader = \"X-Api-Key\";", f"for key, value in {word}.items():", f"# the key is under the mat", f"return {word}.secret", f"auth: {word}", f"<token>{word}</token>" if False else f"public key {word}", f"{word}.sort(key=len)", f"print('basic {word} auth')", f"name: {word.upper()}_TOKEN", f"- name: DB_PASSWORD", f"image: registry.example/{word}:{r.randint(1, 400)}",
-                                    f"The key words are {word}, {_word(r)} and {_word(r)}.", f"login page of {host}", f"see https://{host}/{word}/tokens for the token list", f"echo \"{word} passed\"", f"ref={_rand(r, 24)}", f"{_rand(r, 64, '+/')}", f"{_rand(r, 30, '+/')}==", f"AAAAC3NzaC1lZDI1NTE5{_rand(r, 44, '+/')} build@box")), "", []))
+                                    f"The key words are {word}, {_word(r)} and {_word(r)}.", f"login page of {host}", f"see https://{host}/{word}/tokens for the token list", f"echo \"{word} passed\"", f"ref={_rand(r, 24)}", f"{_rand(r, 64, '+/')}", f"{_rand(r, r.randint(9, 44), '+/')}==", f"{_rand(r, r.randint(9, 60), '+/')}=", f"{_rand(r, r.randint(9, 30), '+/')}==", f"AAAAC3NzaC1lZDI1NTE5{_rand(r, 44, '+/')} build@box")), "", []))
     return out
 
 
 @lru_cache(maxsize=2)
-def model(n: int = 12_000, seed: int = 3) -> Field:
+def model(n: int = 18_000, seed: int = 3) -> Field:
     return train(examples(n, seed))
 
 
