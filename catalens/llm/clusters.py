@@ -4,8 +4,8 @@ Method. Each distinct hash is a record; its bits become hashed features, weighte
 k-means with parallel oversampled seeding (a few rounds that draw many seeds at once by their distance, weighted and
 reduced to k on the driver, whose input is bounded by rounds x oversampling x k) divides the records into cells of
 about ``cell_size``. In each cell tight clusters of radius ``radius`` are grown around seeds and re-centred. A cluster
-whose members were parted by a cell border is joined again: its most typical member also visits every other cell that
-can hold a record within ``radius`` bits (``border_reach``), and clusters whose typical members are so near become one (components by label
+whose members were parted by a cell border is joined again: the most typical members of all clusters meet in their
+``visits`` nearest cells of ``partitions`` independent k-means, and clusters whose typical members are so near become one (components by label
 propagation, distributed). Cells that stay too large are divided again by the same k-means.
 
 Exact copies are one record until the end, so a hash that a third of all rows share costs nothing.
@@ -175,7 +175,8 @@ def _pairs(key: tuple, pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
 
 def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(node, label): the least node of each node's component, by label propagation with pointer jumping. Distributed."""
-    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
+    edges = checkpoint(edges.select("a", "b").filter("a <> b").distinct())
+    both = edges.union(edges.select("b", "a")).distinct()
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label"))
     for _ in range(rounds):
         near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -190,25 +191,11 @@ def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return label
 
 
-def border_reach(centres: np.ndarray, matrix: np.ndarray, radius: int) -> np.ndarray:
-    """(k, k): how much farther than its own centre c another centre c' may be from a record that must visit it.
-
-    Flipping bit i moves a record by v_i and its squared distance to c' less that to c by 2 v_i (c - c'). If two records
-    of different cells differ in at most ``radius`` bits, their two differences of distances add up to at most the sum
-    of the ``radius`` largest such terms, so one of them is at most half of it: that record visits the other's cell."""
-    step = matrix[BITS:] - matrix[:BITS]
-    along = centres @ step.T  # (k, 64)
-    out = np.empty((len(centres), len(centres)), np.float32)
-    for c in range(len(centres)):
-        terms = np.abs(along - along[c])
-        out[c] = np.partition(terms, BITS - radius, axis=1)[:, BITS - radius :].sum(1)
-    return out
-
-
-def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, cell_size: int = 512, k_max: int = 2048, dims: int = 96, oversize: int = 20_000) -> DataFrame:
+def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, cell_size: int = 512, k_max: int = 2048, visits: int = 16, partitions: int = 3, dims: int = 96, oversize: int = 20_000) -> DataFrame:
     """(phash, cluster): every distinct hash with the typical hash of its cluster.
 
-    ``k_max`` bounds what is broadcast and collected (k_max x dims floats); beyond k_max x cell_size hashes cells grow,
+    A pair of clusters is missed only if it is parted in every one of the partitions; the share of such pairs falls with
+    each further one, the work grows in proportion. ``k_max`` bounds what is broadcast and collected (k_max x dims floats); beyond k_max x cell_size hashes cells grow,
     and cells over ``oversize`` are divided by a further k-means of their own members."""
     points = images.select(F.col(hash_col).cast("long").alias("phash")).filter("phash is not null and phash <> 0").distinct()
     points = checkpoint(points)
@@ -217,7 +204,8 @@ def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, c
     if not n:
         return points.select("phash", F.col("phash").alias("cluster"))
     ones = np.array([x or 0 for x in ones], float)
-    matrix = feature_matrix(np.sqrt(np.log1p((n + 1) / (np.concatenate([n - ones, ones]) + 1))), dims)
+    weights = np.sqrt(np.log1p((n + 1) / (np.concatenate([n - ones, ones]) + 1)))
+    matrix = feature_matrix(weights, dims)
     points = spread(points, "phash")
     k = max(1, min(k_max, -(-n // cell_size)))
     centres = kmeans(points, n, k, matrix)
@@ -250,20 +238,24 @@ def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, c
 
     grown = checkpoint(celled.groupBy("cell").applyInPandas(grow, "phash long, typical long"))
 
-    reach = border_reach(centres, matrix, radius)
+    # members parted by a cell border: typical members meet in the cells of several independent k-means
+    typical = checkpoint(grown.select(F.col("typical").alias("phash")).distinct())
+    sets = [(matrix, centres)]
+    for i in range(1, partitions):  # with features hashed anew
+        own = feature_matrix(weights, dims, seed=7 + i)
+        sets.append((own, kmeans(typical, n, k, own, iterations=2, seed=101 + i)))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _blocks(batches):
-            h = pdf["typical"].to_numpy()
-            d = _distances(vectors(h, matrix), centres)
-            home = d.argmin(1)
-            near = d - d[np.arange(len(h)), home][:, None] <= reach[home] + 1e-3
-            near[np.arange(len(h)), home] = True
-            i, c = np.nonzero(near)
-            yield pd.DataFrame({"phash": h[i], "cell": c.astype(np.int64), "home": home[i] == c})
-
-    typical = grown.select("typical").distinct()
-    guests = typical.mapInPandas(visit, "phash long, cell long, home boolean")
+            h = pdf["phash"].to_numpy()
+            for i, (features, own) in enumerate(sets):
+                t = min(visits, len(own))
+                d = _distances(vectors(h, features), own)
+                near = np.argpartition(d, t - 1, axis=1)[:, :t]
+                home = near == d.argmin(1)[:, None]
+                yield pd.DataFrame({"phash": np.repeat(h, t), "cell": near.reshape(-1).astype(np.int64) + (i << 40), "home": home.reshape(-1)})
+
+    guests = spread(typical, "phash").mapInPandas(visit, "phash long, cell long, home boolean")
     pairs = guests.groupBy("cell").applyInPandas(lambda key, pdf: _pairs(key, pdf, radius), "a long, b long")
     label = components(pairs)
     return grown.join(label, grown["typical"] == label["node"], "left").select("phash", F.coalesce("label", "typical").alias("cluster"))
