@@ -243,3 +243,86 @@ def load_config(path: str, environ: dict[str, str] | None = None) -> Config:
     if config.ocr_images not in ("auto", "always", "never") or config.workers < 1 or not 0 <= config.near_duplicate_distance <= 64:
         raise ValueError("ocr_images, workers or near_duplicate_distance is out of range")
     return config
+
+
+# ---------------------------------------------------------------- extraction with tools
+
+
+def document_info(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path) -> (path, content, page_count, error) of PDF files, for mapInPandas; a missing tool is the row's error."""
+    import re
+
+    for pdf in batches:
+        rows = []
+        for path in pdf["path"]:
+            try:
+                info = run_tool("pdfinfo", ["--", path]).decode("utf-8", "replace")
+                found = re.search(r"(?m)^Pages:\s*(\d+)", info)
+                text = run_tool("pdftotext", ["-layout", "-enc", "UTF-8", "--", path, "-"]).decode("utf-8", "replace")
+                rows.append((path, text, int(found.group(1)) if found else None, None))
+            except (RuntimeError, OSError) as e:
+                rows.append((path, None, None, str(e)))
+        yield pd.DataFrame(rows, columns=["path", "content", "page_count", "error"]).astype({"page_count": "Int32"})
+
+
+def probe_videos(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path) -> (path, probe, error): the probe's JSON for ``parse_probe``."""
+    for pdf in batches:
+        rows = []
+        for path in pdf["path"]:
+            try:
+                rows.append((path, run_tool("ffprobe", ["-v", "error", "-print_format", "json", "-show_format", "-show_streams", path]).decode("utf-8", "replace"), None))
+            except (RuntimeError, OSError) as e:
+                rows.append((path, None, str(e)))
+        yield pd.DataFrame(rows, columns=["path", "probe", "error"])
+
+
+def frame_images(batches: Iterator[pd.DataFrame], edge: int = 1024) -> Iterator[pd.DataFrame]:
+    """(path, ts_secs) -> (path, ts_secs, jpeg, error): one frame of a video, its longer edge at most ``edge``."""
+    for pdf in batches:
+        rows = []
+        for path, ts in zip(pdf["path"], pdf["ts_secs"]):
+            scale = f"scale='min({edge},iw)':'min({edge},ih)':force_original_aspect_ratio=decrease"
+            try:
+                rows.append((path, ts, run_tool("ffmpeg", ["-v", "error", "-ss", f"{ts:.3f}", "-i", path, "-frames:v", "1", "-vf", scale, "-f", "mjpeg", "-q:v", "3", "-"]), None))
+            except (RuntimeError, OSError) as e:
+                rows.append((path, ts, None, str(e)))
+        yield pd.DataFrame(rows, columns=["path", "ts_secs", "jpeg", "error"])
+
+
+def page_images(batches: Iterator[pd.DataFrame], dpi: int = 150, edge: int = 1600) -> Iterator[pd.DataFrame]:
+    """(path, page) -> (path, page, jpeg, error): one page of a PDF file as a picture."""
+    for pdf in batches:
+        rows = []
+        for path, page in zip(pdf["path"], pdf["page"]):
+            try:
+                rows.append((path, page, run_tool("pdftoppm", ["-jpeg", "-r", str(dpi), "-scale-to", str(edge), "-f", str(page), "-l", str(page), "-singlefile", path]), None))
+            except (RuntimeError, OSError) as e:
+                rows.append((path, page, None, str(e)))
+        yield pd.DataFrame(rows, columns=["path", "page", "jpeg", "error"])
+
+
+# ---------------------------------------------------------------- removal
+
+
+def remove_sources(root: str, rel_paths: list[str], dry_run: bool = True) -> tuple[list[str], list[tuple[str, str]]]:
+    """(removed, errors): deletes source files below root and the folders that this empties, up to the root itself.
+
+    Nothing is touched in a dry run; what lies outside the root, or is a link, is refused."""
+    base, removed, errors = os.path.realpath(root), [], []
+    for rel in rel_paths:
+        path = os.path.join(base, rel)
+        if not os.path.realpath(path).startswith(base.rstrip("/") + "/") or os.path.islink(path):
+            errors.append((rel, "outside the root or a link"))
+            continue
+        try:
+            if not dry_run:
+                os.remove(path)
+                folder = os.path.dirname(path)
+                while folder != base and not os.listdir(folder):
+                    os.rmdir(folder)
+                    folder = os.path.dirname(folder)
+            removed.append(rel)
+        except OSError as e:
+            errors.append((rel, str(e)))
+    return removed, errors
