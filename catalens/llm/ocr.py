@@ -279,7 +279,7 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _epoch(vin: np.ndarray, vout: np.ndarray, prior: np.ndarray, rate: float, negatives: int, passes: int, seed: int):
-    """One task's share of an epoch: AdaGrad over its pairs, frequent pairs with more weight; empty tasks give no rows."""
+    """One task's share of an epoch: AdaGrad over pairs drawn by their counts; empty tasks give no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = vin.copy(), vout.copy()
@@ -292,23 +292,19 @@ def _epoch(vin: np.ndarray, vout: np.ndarray, prior: np.ndarray, rate: float, ne
             np.add.at(table, rows, grads * (rate / np.sqrt(squares[rows]))[:, None])
 
         for pdf in batches:
-            weight_all = np.minimum(pdf["n"].to_numpy(), 10_000).astype(np.float32) ** 0.5
-            w_all, c_all = pdf["w"].to_numpy(), pdf["c"].to_numpy()
-            np.add.at(seen_a, w_all, weight_all)
-            np.add.at(seen_b, c_all, weight_all)
-            for _ in range(max(passes, min(200, 100_000 // max(1, len(pdf))))):  # few pairs are seen more often
-                order = rng.permutation(len(pdf))
-                for at in range(0, len(order), 1024):
-                    pick = order[at : at + 1024]
-                    w, c, x = w_all[pick], c_all[pick], weight_all[pick]
-                    neg = np.searchsorted(prior, rng.random((len(w), negatives))).clip(0, BUCKETS - 1)
-                    va, vb, vn = a[w], b[c], b[neg]
-                    gp = x / (1 + np.exp(np.clip((va * vb).sum(1), -10, 10)))
-                    gn = -x[:, None] / (1 + np.exp(-np.clip((va[:, None] * vn).sum(2), -10, 10)))
-                    ga = gp[:, None] * vb + (gn[:, :, None] * vn).sum(1)
-                    gb = np.concatenate([gp[:, None] * va, (gn[:, :, None] * va[:, None]).reshape(-1, DIMS)])
-                    update(a, ga2, w, ga)
-                    update(b, gb2, np.concatenate([c, neg.reshape(-1)]), gb)
+            w_all, c_all, n_all = pdf["w"].to_numpy(), pdf["c"].to_numpy(), pdf["n"].to_numpy()
+            np.add.at(seen_a, w_all, n_all)
+            np.add.at(seen_b, c_all, n_all)
+            share = np.cumsum(n_all.astype(float))
+            for _ in range(max(40, -(-passes * len(pdf) // 1024)) if len(pdf) else 0):  # pairs are drawn by their counts
+                pick = np.searchsorted(share, rng.random(1024) * share[-1]).clip(0, len(pdf) - 1)
+                w, c = w_all[pick], c_all[pick]
+                neg = np.searchsorted(prior, rng.random((len(w), negatives))).clip(0, BUCKETS - 1)
+                va, vb, vn = a[w], b[c], b[neg]
+                gp = 1 / (1 + np.exp(np.clip((va * vb).sum(1), -10, 10)))
+                gn = -1 / (1 + np.exp(-np.clip((va[:, None] * vn).sum(2), -10, 10)))
+                update(a, ga2, w, gp[:, None] * vb + (gn[:, :, None] * vn).sum(1))
+                update(b, gb2, np.concatenate([c, neg.reshape(-1)]), np.concatenate([gp[:, None] * va, (gn[:, :, None] * va[:, None]).reshape(-1, DIMS)]))
         used = np.flatnonzero(seen_a + seen_b)
         both = np.hstack([a[used] * seen_a[used, None], b[used] * seen_b[used, None]]).astype(np.float64)
         yield pd.DataFrame({"k": used, "wa": seen_a[used], "wb": seen_b[used], "v": pd.Series(list(both), dtype=object)})
@@ -319,7 +315,7 @@ def _epoch(vin: np.ndarray, vout: np.ndarray, prior: np.ndarray, rate: float, ne
 def skip_gram(pages: DataFrame, epochs: int = 3, rate: float = 0.1, negatives: int = 4, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(in, out): vectors of the hashed words. The tables have BUCKETS x DIMS numbers each, whatever the corpus."""
     pairs = spread(pages, "file_id").mapInPandas(_pairs, "w int, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n"))
-    pairs = checkpoint(pairs)
+    pairs = checkpoint(pairs.repartition("w"))  # a word's pairs in one task, so that only context vectors are averaged
     prior = np.full(BUCKETS, 1e-9)
     for k, n in pairs.groupBy("c").agg(F.sum("n")).collect():  # BUCKETS rows at most
         prior[k] = float(n) ** 0.75
