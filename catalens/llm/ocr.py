@@ -39,7 +39,7 @@ GLYPHS = (
     ("b", "6"), ("z", "2"), ("q", "9"), ("á", "ó"), ("à", "ò"), ("í", "l"), ("é", "ê"), ("è", "é"), ("u", "n"), ("n", "u"), ("y", "v"), ("v", "y"), ("k", "lc"), ("h", "li"), ("e", "o"),
 )
 HYPHENS = "-‐‑­¬"
-WINDOW, BUCKETS, DIMS = 3, 1 << 15, 32
+WINDOW, BUCKETS, DIMS, SKIPPED = 3, 1 << 15, 32, 20_000
 WORD_EDGE = ".,;:()[]{}|·“”„«»‹›?…'’‘*_<>–—=#+/\\"
 PAGE_WORD = r"(?:page|pages|seite|página|pagina|pág|pag|blatt|folio|hoja|feuille|p|s|pg)"
 ROMAN = r"(?:x{0,3}(?:ix|iv|v?i{1,3}|v)|x{1,3})"
@@ -354,21 +354,29 @@ def neighbours(words: DataFrame, frequent: int = 4, ratio: int = 6) -> DataFrame
     return hit.groupBy("form").agg(F.sort_array(F.collect_list(F.struct((F.col("n_word") / F.greatest("n_form", F.lit(1))).alias("times"), "word")), asc=False).alias("cands"))
 
 
-def _rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every word with its context; words that the vocabulary knows well go in the join that follows."""
-    for pdf in batches:
-        rows = []
-        for f, page, h, text, joins in zip(pdf["file_id"], pdf["page"], pdf["h"], pdf["text"], pdf["joins"]):
-            by = {j["line"]: (j["next"], j["left"] + j["right"]) for j in joins} if joins is not None else {}
-            toks = [keys_of(t) for _, t in _tokens(split_lines(text), by)]
-            ids = [bucket(w) for w, _ in toks]
-            for i, (word, raw) in enumerate(toks):
-                if is_word(word) or is_word(raw):
-                    near = ids[max(0, i - WINDOW) : i] + ids[i + 1 : i + 1 + WINDOW]
-                    for form in {word, raw}:
-                        if is_word(form):
-                            rows.append((f, page, h, form, near))
-        yield pd.DataFrame(rows, columns=["file_id", "page", "h", "form", "near"])
+def _rare(skip: frozenset[str]):
+    """Words with their context, without those of ``skip``; which of them are misread is settled by the join that follows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _contexts(pdf, skip)
+
+    return run
+
+
+def _contexts(pdf: pd.DataFrame, skip: frozenset[str]) -> pd.DataFrame:
+    rows = []
+    for f, page, h, text, joins in zip(pdf["file_id"], pdf["page"], pdf["h"], pdf["text"], pdf["joins"]):
+        by = {j["line"]: (j["next"], j["left"] + j["right"]) for j in joins} if joins is not None else {}
+        toks = [keys_of(t) for _, t in _tokens(split_lines(text), by)]
+        ids = [bucket(w) for w, _ in toks]
+        for i, (word, raw) in enumerate(toks):
+            if is_word(word) or is_word(raw):
+                near = ids[max(0, i - WINDOW) : i] + ids[i + 1 : i + 1 + WINDOW]
+                for form in {word, raw}:
+                    if is_word(form) and form not in skip:
+                        rows.append((f, page, h, form, near))
+    return pd.DataFrame(rows, columns=["file_id", "page", "h", "form", "near"])
 
 
 def _choose(vin: np.ndarray, vout: np.ndarray, safe: float):
@@ -392,7 +400,10 @@ def misread_words(pages: DataFrame, joins: DataFrame, words: DataFrame, safe: fl
     kind = pages.schema["file_id"].dataType.simpleString()
     linked = checkpoint(neighbours(words))
     by = joins.filter("split").groupBy("file_id", "page", "h").agg(F.collect_list(F.struct("line", "next", "left", "right")).alias("joins"))
-    tokens = spread(pages.join(by, ["file_id", "page", "h"], "left"), "file_id").mapInPandas(_rare, f"file_id {kind}, page int, h long, form string, near array<int>")
+    # the most frequent words are no misread forms; leaving them out spares most of the shuffle (SKIPPED bounds the list)
+    known = words.join(linked.select(F.col("form").alias("word")), "word", "left_anti").orderBy(F.desc("n"), "word").limit(SKIPPED)
+    skip = frozenset(r[0] for r in known.select("word").collect())
+    tokens = spread(pages.join(by, ["file_id", "page", "h"], "left"), "file_id").mapInPandas(_rare(skip), f"file_id {kind}, page int, h long, form string, near array<int>")
     hits = tokens.join(linked, "form")
     vin, vout = skip_gram(pages)
     return spread(hits, "file_id").mapInPandas(_choose(vin, vout, safe), f"file_id {kind}, page int, h long, form string, word string, score double")
