@@ -4,7 +4,7 @@ Method. Every distinct word of the corpus that holds a sign outside ASCII is wri
 the known chains of wrong decodings (UTF-8 read as windows-1252, windows-1251 read as windows-1252, UTF-8 twice, bytes
 replaced by U+FFFD, ...). The words of the corpus are hash-joined with that table; a hit names the original word.
 A hit is verified: the original must be a word of the corpus itself, for chains that can be read in both directions
-the original must be the more frequent form, and hits of such chains need a word of three signs or two different words in the line.
+the original must be the more frequent form, and hits of such chains need a word of three signs, or two different words of which one has two signs, in the line.
 
 Defined results: null or empty content gives no row; repeated rows of a file count once; a file whose copies differ is
 affected if one of them is; content of any length is read whole; columns beyond (file_id, content) are ignored.
@@ -74,8 +74,8 @@ def _write(text: str, page: str) -> bytes | None:
 def garbled_forms(word: str) -> dict[str, tuple[str, bool]]:
     """All garbled forms of a word: form -> (chain, sure). ``sure``: the chain cannot be read in the other direction."""
     out: dict[str, tuple[str, bool]] = {}
-    if any(c == "\ufffd" or "\x80" <= c <= "\x9f" for c in word):
-        return out  # itself the product of a wrong decoding
+    if not word.strip() or any(c == "\ufffd" or "\x80" <= c <= "\x9f" for c in word):
+        return out  # a blank, or itself the product of a wrong decoding
 
     def add(form: str | None, chain: str, sure: bool) -> None:
         if form and form != word and form not in out and any(ord(c) > 127 for c in form):
@@ -168,11 +168,10 @@ def garbled_tokens(documents: DataFrame, content: str = "content", file_id: str
     words = garbled_words(tokens)
     hits = tokens.join(words, tokens["token"] == words["garbled"]).drop("token")
     line = (
-        hits.groupBy("file_id", "line_no", "chain")
+        hits.groupBy("file_id", "line_no")
         .agg(F.max("sure").alias("any_sure"), F.max(F.length("garbled")).alias("longest"), F.count_distinct("garbled").alias("k"))
-        .filter("any_sure or longest >= 3 or k >= 2")
+        .filter("any_sure or longest >= 3 or (k >= 2 and longest >= 2)")
         .select("file_id", "line_no")
-        .distinct()
     )
     return hits.join(line, ["file_id", "line_no"], "left_semi").select("file_id", "line_no", "garbled", "original", "chain", "sure")
 

@@ -3,7 +3,7 @@ import pytest
 from catalens.llm import encoding
 
 SCHEMA = "file_id string, content string, encoding string, line string, word string"
-CLEAN = "Die Küche ist größer als früher.\nLe théâtre est célèbre.\nМост закрыт на ремонт.\nŁódź stoi przy nabrzeżu.\nThe “old mill” – it isn’t new."
+CLEAN = "Die Küche ist größer als früher.\nLe théâtre est célèbre.\nМост закрыт на ремонт.\nŁódź stoi przy nabrzeżu.\nThe “old mill” – it isn’t new.\nà la gare – â \u00a0 à"
 
 
 def frame(spark, texts):
