@@ -9,7 +9,8 @@ content remains well-formed. Blocks of private keys are spans over lines and cou
 The field is trained here, on lines that a generator writes and labels (``examples``, a bounded and documented number
 of lines); no content of the tables is used for training. Weights are a small dictionary that travels with the task.
 
-Lines without any sign of a credential (no telling word, no user part, no opaque run of ``OPAQUE`` signs) are not lexed.
+Lines without any sign of a credential (no stem of a telling name, no user part, no literals joined by + or ., no opaque
+run of ``OPAQUE`` signs) are not lexed: the field is not trained on prose and labels capitalised words in it.
 
 Defined results: null and empty content gives no row; repeated rows of a file give one row for a line; content is read
 whole; lines are separated by \\n and counted from 1, a trailing \\r belongs to the line's end and is kept.
@@ -32,9 +33,13 @@ from pyspark.sql import functions as F
 from catalens.session import spread
 
 OPAQUE = 16
+STEMS_POS = ("password", "passwd", "passphrase", "passwort", "pass", "pwd", "pw", "secret", "token", "apikey", "key", "credential", "credentials", "auth", "authorization", "bearer", "basic", "kennwort", "passe", "clave", "contrasena", "login", "signing", "webhook", "private")
+#: Names that end with one of these once the signs between their words are gone.
+JOINED_POS = ("apikey", "password", "passwd", "secret", "token", "kennwort", "passwort", "motdepasse")
+#: For lines in lower case: every stem anywhere (in any spelling of a name), every joined literal, addresses and opaque runs.
 SIGNAL = re.compile(
-    r"pass|pwd|(?:\b|_)pw|\bpw|secret|token|key|login|kennwort|clave|contrase|mot.?de|cred|auth|bearer|basic|value|-----BEGIN|://[^\s/@]*:[^\s@]*@|[A-Za-z0-9+/_.\-]{%d,}" % OPAQUE,
-    re.I,
+    "|".join([w for w in STEMS_POS if not any(x != w and x in w for x in STEMS_POS)] + [r"[_.\-]*".join(w) for w in JOINED_POS])
+    + r"|contrase|mot.?de|cred|value|-----begin|://[^\s/@]*:[^\s@]*@|[\"']\s*[+.]\s*[\"']|[a-z0-9+/_.\-]{%d,}" % OPAQUE
 )
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -49,7 +54,6 @@ LEX = re.compile(
     r"""|(?P<op>:=|=>|==|->|\|\||.)""",
     re.S,
 )
-STEMS_POS = ("password", "passwd", "passphrase", "passwort", "pass", "pwd", "pw", "secret", "token", "apikey", "key", "credential", "credentials", "auth", "authorization", "bearer", "basic", "kennwort", "passe", "clave", "contrasena", "login", "signing", "webhook", "private")
 STEMS_NEG = ("sha", "sha256", "sha1", "md5", "digest", "checksum", "hash", "etag", "commit", "revision", "build", "job", "trace", "icon", "integrity", "sri", "subresource", "fingerprint", "public", "cert", "certificate", "id", "uuid", "type", "ttl", "name", "path", "column", "length", "min", "max", "bindings", "header", "count", "field", "url", "file", "expiry", "version", "layer", "layerhash", "gitsha", "jobid", "traceid", "buildid", "prompt", "label", "policy", "rotation", "mode", "size", "format", "ref", "keyid")
 PLACEHOLDERS = ("example", "sample", "todo", "tbd", "fixme", "changeme", "change_me", "replace_me", "replaceme", "none", "null", "nil", "true", "false", "undefined", "empty", "dummy", "test", "password", "passwd", "secret", "token", "redacted", "placeholder", "default", "unset", "xxx", "foo", "bar", "insert", "your", "here", "bearer", "basic", "string", "optional", "required")
 
@@ -93,7 +97,7 @@ def key_class(name: str) -> str:
     """P: names a credential, N: names something else, M: something about a credential, O: neither."""
     words = subwords(name)
     joined = "".join(words)
-    pos = any(w in STEMS_POS for w in words) or any(joined.endswith(s) for s in ("apikey", "password", "passwd", "secret", "token", "kennwort", "passwort", "motdepasse"))
+    pos = any(w in STEMS_POS for w in words) or joined.endswith(JOINED_POS)
     neg = any(w in STEMS_NEG for w in words) or joined in ("requestid", "sessionid")
     return "M" if pos and neg else "P" if pos else "N" if neg else "O"
 
@@ -489,7 +493,7 @@ def spans_of(lines: list[str], field: Field) -> list[tuple[int, int, int, bool]]
     i = 0
     while i < len(lines):
         line = lines[i]
-        if not SIGNAL.search(line):
+        if not SIGNAL.search(line.lower()):
             i += 1
             continue
         if m := PRIVATE.search(line):

@@ -25,6 +25,13 @@ def test_lines(field):
     assert [x for x in POSITIVE if not found(x)] == [] and [x for x in NEGATIVE if found(x)] == []
 
 
+def test_names_in_camel_case_and_split_tokens_are_read(field):
+    lines = ['  "ftpPw": "Tulpe=saffron720",', '\t\tFtppw: "kupfer2019",', 'opt2 = "AQIZHE2XSP" + "PBLREN6VNS"', 'k = "zpat-gMAzG9h" + "jdtJWcesFWHq9";']
+    assert [i for i, *_ in secrets.spans_of(lines, field)] == [0, 1, 2, 2, 3, 3]
+    assert all(secrets.SIGNAL.search(f"x{w} = 1") for w in secrets.STEMS_POS)
+    assert not secrets.spans_of(["Das Protokoll ist im Erdgeschoss.", "function mergeShelf(shelf) {"], field)
+
+
 def test_held_out_accuracy(field):
     tp = fp = fn = 0
     for text, above, spans in secrets.examples(2000, seed=99):
