@@ -3,10 +3,10 @@
 Method. Each distinct hash is a record; its bits become hashed features, weighted by how rare the bit's value is.
 k-means with parallel oversampled seeding (a few rounds that draw many seeds at once by their distance, weighted and
 reduced to k on the driver, whose input is bounded by rounds x oversampling x k) divides the records into cells of
-about ``cell_size``. In each cell tight clusters of radius ``radius`` are grown around seeds and re-centred. A cluster
-whose members were parted by a cell border is joined again: the most typical members of all clusters meet in their
-``visits`` nearest cells of ``partitions`` independent k-means, and clusters whose typical members are so near become one (components by label
-propagation, distributed). Cells that stay too large are divided again by the same k-means.
+about ``cell_size``. In each cell tight clusters of radius ``radius`` are grown around seeds and re-centred. Clusters that a
+cell border or the growth parted are joined again by an exact check: every hash visits the buckets of its bands of bits,
+chosen so that any two hashes within ``radius`` meet in one, and clusters with members so near become one (components by
+label propagation, distributed). Cells that stay too large are divided again by the same k-means.
 
 Exact copies are one record until the end, so a hash that a third of all rows share costs nothing.
 
@@ -161,16 +161,45 @@ def _grow(hashes: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def _pairs(key: tuple, pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Typical members of one cell against each other and against visitors from other cells, in blocks."""
-    home = np.sort(pdf.loc[pdf["home"], "phash"].to_numpy(np.int64)).view(np.uint64)
-    guest = np.sort(pdf["phash"].to_numpy(np.int64)).view(np.uint64)
-    a, b = [], []
-    for at in range(0, len(guest), 2048):
-        i, j = np.nonzero(np.bitwise_count(guest[at : at + 2048, None] ^ home[None, :]) <= radius)
-        a.append(guest[at + i]), b.append(home[j])
-    a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pd.DataFrame({"a": a, "b": b})
+def _visits(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """The buckets of each hash: the value of each band of bits, at home, and as a guest all values with a further bit set.
+
+    radius // 2 + 1 bands: two hashes within the radius differ by at most one bit in one of them, and there they are equal or
+    the one without the bit visits the other."""
+    n = radius // 2 + 1
+    cuts = [BITS * i // n for i in range(n + 1)]
+    for pdf in _blocks(batches):
+        h, c = pdf["phash"].to_numpy(np.int64), pdf["typical"].to_numpy(np.int64)
+        u = h.view(np.uint64)
+        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            own = (u >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
+            rows, cells = [np.arange(len(h))], [own]
+            for bit in range(hi - lo):
+                rows.append(np.flatnonzero((own >> np.uint64(bit)) & np.uint64(1) == 0))
+                cells.append(own[rows[-1]] | np.uint64(1 << bit))
+            at = np.concatenate(rows)
+            yield pd.DataFrame({"phash": h[at], "typical": c[at], "band": i, "cell": np.concatenate(cells).view(np.int64), "home": np.arange(len(at)) < len(h)})
+
+
+def _links(key: tuple, pdf: pd.DataFrame, radius: int, block: int = 1 << 21) -> pd.DataFrame:
+    """Pairs of clusters of which two members within the radius meet in one bucket, in blocks."""
+    pdf = pdf.sort_values(["cell", "phash"])
+    h, c = pdf["phash"].to_numpy(np.int64).view(np.uint64), pdf["typical"].to_numpy(np.int64)
+    cell, at_home = pdf["cell"].to_numpy(np.int64), np.flatnonzero(pdf["home"].to_numpy(bool))
+    lo, hi = (np.searchsorted(cell[at_home], cell, side) for side in ("left", "right"))
+    n = hi - lo
+    ends = np.cumsum(n)
+    out = [np.zeros((0, 2), np.int64)]
+    x = 0
+    while x < len(h):
+        y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + block, "right")))
+        i = np.repeat(np.arange(x, y), n[x:y])
+        j = at_home[np.arange(len(i)) - np.repeat(ends[x:y] - n[x:y] - (ends[x - 1] if x else 0), n[x:y]) + np.repeat(lo[x:y], n[x:y])]
+        near = (np.bitwise_count(h[i] ^ h[j]) <= radius) & (c[i] != c[j])
+        out.append(np.unique(np.sort(np.stack([c[i[near]], c[j[near]]], 1), axis=1), axis=0))
+        x = y
+    out = np.unique(np.concatenate(out), axis=0)
+    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
 
 def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
@@ -191,11 +220,11 @@ def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return label
 
 
-def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, cell_size: int = 512, k_max: int = 2048, visits: int = 16, partitions: int = 3, dims: int = 96, oversize: int = 20_000) -> DataFrame:
+def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, cell_size: int = 512, k_max: int = 2048, dims: int = 96, oversize: int = 20_000) -> DataFrame:
     """(phash, cluster): every distinct hash with the typical hash of its cluster.
 
-    A pair of clusters is missed only if it is parted in every one of the partitions; the share of such pairs falls with
-    each further one, the work grows in proportion. ``k_max`` bounds what is broadcast and collected (k_max x dims floats); beyond k_max x cell_size hashes cells grow,
+    Two hashes within the radius are always in one cluster: whatever cells and growth parted is joined by an exact check of
+    all members. ``k_max`` bounds what is broadcast and collected (k_max x dims floats); beyond k_max x cell_size hashes cells grow,
     and cells over ``oversize`` are divided by a further k-means of their own members."""
     points = images.select(F.col(hash_col).cast("long").alias("phash")).filter("phash is not null and phash <> 0").distinct()
     points = checkpoint(points)
@@ -230,7 +259,6 @@ def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, c
                 yield pd.DataFrame({"phash": pdf["phash"].to_numpy(), "cell": d.argmin(1).astype(np.int64) + (level << 32)})
 
         celled = checkpoint(celled.filter(~F.col("cell").isin(large)).union(part.select("phash").mapInPandas(again, "phash long, cell long")))
-        centres = np.vstack([centres, own])
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.sort(pdf["phash"].to_numpy(np.int64))
@@ -238,25 +266,10 @@ def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, c
 
     grown = checkpoint(celled.groupBy("cell").applyInPandas(grow, "phash long, typical long"))
 
-    # members parted by a cell border: typical members meet in the cells of several independent k-means
-    typical = checkpoint(grown.select(F.col("typical").alias("phash")).distinct())
-    sets = [(matrix, centres)]
-    for i in range(1, partitions):  # with features hashed anew
-        own = feature_matrix(weights, dims, seed=7 + i)
-        sets.append((own, kmeans(typical, n, k, own, iterations=2, seed=101 + i)))
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _blocks(batches):
-            h = pdf["phash"].to_numpy()
-            for i, (features, own) in enumerate(sets):
-                t = min(visits, len(own))
-                d = _distances(vectors(h, features), own)
-                near = np.argpartition(d, t - 1, axis=1)[:, :t]
-                home = near == d.argmin(1)[:, None]
-                yield pd.DataFrame({"phash": np.repeat(h, t), "cell": near.reshape(-1).astype(np.int64) + (i << 40), "home": home.reshape(-1)})
-
-    guests = spread(typical, "phash").mapInPandas(visit, "phash long, cell long, home boolean")
-    pairs = guests.groupBy("cell").applyInPandas(lambda key, pdf: _pairs(key, pdf, radius), "a long, b long")
+    # what a cell border or the growth parted: all members meet in the buckets of their bands
+    guests = spread(grown, "phash").mapInPandas(lambda batches: _visits(batches, radius), "phash long, typical long, band int, cell long, home boolean")
+    parts = max(16, n // 1024)  # buckets are many and small: some share a task's call
+    pairs = guests.groupBy("band", F.pmod("cell", F.lit(parts)).alias("part")).applyInPandas(lambda key, pdf: _links(key, pdf, radius), "a long, b long")
     label = components(pairs)
     return grown.join(label, grown["typical"] == label["node"], "left").select("phash", F.coalesce("label", "typical").alias("cluster"))
 

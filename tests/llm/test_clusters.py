@@ -29,6 +29,12 @@ def test_pairs_equal_brute_force(spark, cell):
     assert {tuple(r) for r in got.collect()} == brute(rows)
 
 
+def test_a_member_taken_in_by_another_cluster_keeps_its_links(spark):
+    b1, b2 = sum(1 << i for i in range(10, 18)), sum(1 << i for i in range(10, 19))
+    rows = [("a1", 1, None, ""), ("a2", 2, None, ""), ("a3", 4, None, ""), ("b1", b1, None, ""), ("b2", b2, None, "")]
+    assert {tuple(r) for r in clusters.close_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows) >= {("b1", "b2")}
+
+
 def test_oversize_cells_are_divided(spark):
     rows = pictures(80)
     got = clusters.close_pairs(spark.createDataFrame(rows, SCHEMA), cell_size=500, oversize=30)
