@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from catalens.llm import clusters
@@ -35,6 +36,16 @@ def test_a_member_taken_in_by_another_cluster_keeps_its_links(spark):
     assert {tuple(r) for r in clusters.close_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows) >= {("b1", "b2")}
 
 
+def test_every_two_near_hashes_meet_in_a_bucket():
+    rng = np.random.default_rng(8)
+    a = rng.integers(-(2**63), 2**63, 300, dtype=np.int64)
+    b = np.array([int(np.int64(x) ^ np.int64(sum(1 << int(i) for i in rng.choice(63, 8, replace=False)))) for x in a], np.int64)
+    pdf = pd.DataFrame({"phash": np.concatenate([a, b])}).assign(typical=lambda x: x["phash"])
+    rows = pd.concat(clusters._visits(iter([pdf]), 8))
+    got = {tuple(r) for _, g in rows.groupby("band") for r in clusters._links((), g, 8, block=500).to_numpy().tolist()}
+    assert got == {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+
+
 def test_oversize_cells_are_divided(spark):
     rows = pictures(80)
     got = clusters.close_pairs(spark.createDataFrame(rows, SCHEMA), cell_size=500, oversize=30)
