@@ -17,6 +17,8 @@ Defined results: null and empty texts and items match nothing; repeated rows giv
 
 from __future__ import annotations
 
+import html
+import html.entities
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,18 @@ from catalens.session import checkpoint, spread
 
 WORD = r"[\p{L}\p{N}]+"
 TERM = 3
-#: Taken away, in this order: tags, entities of spaces, hyphens inside words (with line ends), apostrophes inside words.
+#: Taken away before entities are decoded: comments, tags, targets of Markdown links (inline, by name, and the names' own lines).
+MARKUP = (
+    (r"(?s)<!--.*?-->", " "),
+    (r"<[^<>]{1,200}>|</?[a-z][^<>]*>", " "),
+    (r"\]\(\s*[^()\s]*(?:\([^()\s]*\)[^()\s]*)?(?:\s+(?:\"[^\"\n]*\"|'[^'\n]*'))?\s*\)", " "),
+    (r"\]\[[^\[\]\n]*\]", " "),
+    (r"(?m)^[ \t]*\[[^\[\]\n]+\]:[ \t]*(?:[a-z][a-z0-9+.\-]*:|www\.|[/#])\S*", " "),
+)
+#: Names of entities in lower case, and the numbers that HTML reads as signs of another code page.
+ENTITIES = {k[:-1].lower(): v.lower() for k, v in sorted(html.entities.html5.items()) if k.endswith(";")} | {f"#{n}": html.unescape(f"&#{n};").lower() for n in range(128, 160)}
+#: Taken away after that, in this order: hyphens inside words (with line ends), apostrophes inside words, emphasis.
 STEPS = (
-    (r"<[^<>]{1,200}>", " "),
-    (r"&(?:nbsp|amp|quot|lt|gt|#\d+);", " "),
     (r"(?<=[\p{L}\p{N}])[-\x{2010}\x{2011}\x{00ad}\x{00ac}][ \t]*\r?\n[ \t]*(?=[\p{L}\p{N}])", ""),
     (r"(?<=[\p{L}\p{N}])[-\x{2010}\x{2011}\x{00ad}](?=[\p{L}\p{N}])", ""),
     (r"(?<=\p{L})['\x{2019}\x{2018}\x{02bc}`](?=\p{L})", ""),
@@ -39,9 +49,27 @@ STEPS = (
 )
 
 
+def _decoded(text: F.Column) -> F.Column:
+    """The text with its named and numeric entities as signs; what is no entity stays."""
+    entity = r"&(#x[0-9a-f]{1,6}|#[0-9]{1,7}|[a-z][a-z0-9]*);"
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def sign(e: F.Column) -> F.Column:
+        code = F.when(e.startswith("#x"), F.conv(F.substring(e, 3, 6), 16, 10)).when(e.startswith("#"), F.substring(e, 2, 7)).cast("int")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.try_element_at(names, F.coalesce(F.concat(F.lit("#"), code.cast("string")), e)), number, F.when(e.startswith("#"), F.lit(" ")), F.concat(F.lit("&"), e, F.lit(";")))
+
+    parts = F.zip_with(F.split(text, entity, -1), F.regexp_extract_all(text, F.lit(entity), 1), lambda p, e: F.concat(p, F.when(e.isNull(), "").otherwise(sign(e))))
+    return F.when(text.rlike(entity), F.lower(F.array_join(parts, ""))).otherwise(text)
+
+
 def words_of(column: F.Column | str) -> F.Column:
     """The array of normalised words, computed in the JVM."""
     text = F.lower(F.col(column) if isinstance(column, str) else column)
+    for pattern, to in MARKUP:
+        text = F.regexp_replace(text, pattern, to)
+    text = _decoded(text)
     for pattern, to in STEPS:
         text = F.regexp_replace(text, pattern, to)
     return F.regexp_extract_all(text, F.lit(WORD), 0)

@@ -52,3 +52,13 @@ def test_best_run_equals_brute_force():
                     best = max(best, b - a)
         got = leakage.best_run(same, shared, 18, 8)
         assert (got[1] - got[0] if got else 0) == best
+
+
+def test_markup_of_any_kind_makes_no_words(spark):
+    long = "<a href='" + "x/" * 200 + "'>"
+    texts = ["one &mdash; two&nbsp;caf&eacute; &#8212; don&#x2019;t", f"One {long}two</a> caf\u00e9 don't", "[one](https://a.example/b_(c) 'some title') two [caf\u00e9][ref] don&rsquo;t", "one <!-- a > b --> two caf&#233; don&#146;t", "one two caf\u00e9 &#0; don't"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r["w"] for r in df.orderBy("i").select(leakage.words_of("text").alias("w")).collect()]
+    assert got == [["one", "two", "caf\u00e9", "dont"]] * 5
+    odd = spark.createDataFrame([("a & b; x &foo; y &#xD800; z &#9999999; AT&T [note](see the page)",)], "text string").select(leakage.words_of("text").alias("w")).first()["w"]
+    assert odd == ["a", "b", "x", "foo", "y", "z", "at", "t", "note", "see", "the", "page"]
