@@ -271,7 +271,8 @@ def queries() -> dict[str, Query]:
         "phash_donor_top1": _donors,
         "phash_repeat_counts": lambda s, d: dedup.repeat_counts(c(s, d).images),
         "phash_sample_bands": lambda s, d: dedup.sample_pairs(_hamming(s, d)).select("band", "a", "b", "dist"),
-        "phash_greedy_report": lambda s, d: dedup.threshold_report(_pictures(s, d), (0, 2, 4, 6, 8), seconds_per_call=50.0),
+        "phash_sample_bands_16": lambda s, d: dedup.sample_pairs(dedup.hash_pairs(c(s, d).images, max(dedup.THRESHOLDS))).select("band", "a", "b", "dist"),
+        "phash_greedy_report": lambda s, d: dedup.threshold_report(_pictures(s, d), seconds_per_call=50.0),
         "candidates": lambda s, d: _candidates(s, d),
         "candidates_force": lambda s, d: _candidates(s, d, force=True, kinds=["image", "document"], prefix="/mnt/c"),
         "candidates_path_order": lambda s, d: enrich.in_path_order(enrich.candidates(c(s, d)), 50).select("id", "abs_path"),
