@@ -2,7 +2,7 @@
 
 Method. Both sides are read as the same sequence of words: case, punctuation, markup, quote signs, spacing and hyphens
 (also those at line ends) are taken away. A term is three words in a row. The index holds a posting (term, document,
-position) for every term; it is read for the rarest terms of the items by corpus frequency, chosen so densely and
+position) for every term and is not stored: its postings are computed for the counts and again for the candidates. It is read for the rarest terms of the items by corpus frequency, chosen so densely and
 without overlap that a passage with the allowed changed words keeps at least one. The lists are intersected after the
 item's offset is subtracted: what lies on one diagonal of (document, item) is a candidate. Each is then verified word by word:
 a run of at least ``window`` item words in which at most one in ``changed`` differs. Wording of nine words or more that
