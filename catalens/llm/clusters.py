@@ -235,7 +235,7 @@ def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, c
     ones = np.array([x or 0 for x in ones], float)
     weights = np.sqrt(np.log1p((n + 1) / (np.concatenate([n - ones, ones]) + 1)))
     matrix = feature_matrix(weights, dims)
-    points = spread(points, "phash")
+    points = spread(points)
     k = max(1, min(k_max, -(-n // cell_size)))
     centres = kmeans(points, n, k, matrix)
 
@@ -267,7 +267,7 @@ def hash_clusters(images: DataFrame, hash_col: str = "phash", radius: int = 8, c
     grown = checkpoint(celled.groupBy("cell").applyInPandas(grow, "phash long, typical long"))
 
     # what a cell border or the growth parted: all members meet in the buckets of their bands
-    guests = spread(grown, "phash").mapInPandas(lambda batches: _visits(batches, radius), "phash long, typical long, band int, cell long, home boolean")
+    guests = spread(grown).mapInPandas(lambda batches: _visits(batches, radius), "phash long, typical long, band int, cell long, home boolean")
     parts = max(16, n // 1024)  # buckets are many and small: some share a task's call
     pairs = guests.groupBy("band", F.pmod("cell", F.lit(parts)).alias("part")).applyInPandas(lambda key, pdf: _links(key, pdf, radius), "a long, b long")
     label = components(pairs)

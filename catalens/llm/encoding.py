@@ -150,7 +150,7 @@ def garbled_words(tokens: DataFrame) -> DataFrame:
     The vocabulary is aggregated before the join, so hot words are one row; several originals of one form are
     settled by frequency, then by the word itself."""
     words = tokens.groupBy(F.col("token").alias("word")).agg(F.count("*").alias("n"))
-    forms = spread(words, "word").mapInPandas(_forms, "garbled string, original string, n_original long, chain string, sure boolean")
+    forms = spread(words).mapInPandas(_forms, "garbled string, original string, n_original long, chain string, sure boolean")
     hits = forms.join(words.select(F.col("word").alias("garbled"), F.col("n").alias("n_garbled")), "garbled").filter(
         F.col("sure") | (F.col("n_original") > F.col("n_garbled"))
     )

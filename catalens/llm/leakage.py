@@ -157,7 +157,7 @@ def _terms(words: F.Column) -> F.Column:
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 18, changed: int = 8, shared_items: int = 3) -> DataFrame:
     """(doc_id, item_id, at, words): the longest verified run of each leaked item in each document, from word ``at`` on."""
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter("doc is not null and text <> ''")
-    docs = spread(docs, "doc")
+    docs = spread(docs)
     item = checkpoint(item_table(items, item_id, item_text, shared_items))
     local = item.withColumn("grams", _terms(F.col("words"))).collect()  # bounded by max_item_words
     vocabulary = item.select(F.explode(_terms(F.col("words"))).alias("term")).distinct()

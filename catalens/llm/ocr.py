@@ -152,7 +152,7 @@ def furniture(pages: DataFrame, similar: int = 2) -> DataFrame:
     """(file_id, page, h, line, noise): header and page_number lines. Counts are by (file, key), so that a file with very
     many pages is spread over the cluster; a line that stands alone may differ from a recurring one by ``similar`` edits."""
     kind = pages.schema["file_id"].dataType.simpleString()
-    edges = checkpoint(spread(pages, "file_id").mapInPandas(_edges, f"file_id {kind}, page int, h long, line int, zone string, key string, style string, number int, of int"))
+    edges = checkpoint(spread(pages).mapInPandas(_edges, f"file_id {kind}, page int, h long, line int, zone string, key string, style string, number int, of int"))
     keyed = edges.filter("key <> ''")
     counts = keyed.groupBy("file_id", "key").agg(F.count_distinct("page").alias("pages"))
     recur = counts.filter("pages > 1").select("file_id", "key")
@@ -228,7 +228,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def vocabulary(pages: DataFrame) -> DataFrame:
     """(word, n) over all pages, counted within each task first."""
-    return spread(pages, "file_id").mapInPandas(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(pages).mapInPandas(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _hyphens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,7 +250,7 @@ def with_drops(pages: DataFrame, lines: DataFrame) -> DataFrame:
 def split_words(dropped: DataFrame, words: DataFrame) -> DataFrame:
     """(file_id, page, h, line, next, left, right, split): line ends with a hyphen; split is false for broken compounds."""
     kind = dropped.schema["file_id"].dataType.simpleString()
-    ends = spread(dropped, "file_id").mapInPandas(_hyphens, f"file_id {kind}, page int, h long, line int, next int, left string, sign string, right string, joined string, compound string")
+    ends = spread(dropped).mapInPandas(_hyphens, f"file_id {kind}, page int, h long, line int, next int, left string, sign string, right string, joined string, compound string")
     a = words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
     b = words.select(F.col("word").alias("compound"), F.col("n").alias("n_compound"))
     known = ends.join(a, "joined", "left").join(b, "compound", "left")
@@ -314,7 +314,7 @@ def _epoch(vin: np.ndarray, vout: np.ndarray, prior: np.ndarray, rate: float, ne
 
 def skip_gram(pages: DataFrame, epochs: int = 3, rate: float = 0.1, negatives: int = 4, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(in, out): vectors of the hashed words. The tables have BUCKETS x DIMS numbers each, whatever the corpus."""
-    pairs = spread(pages, "file_id").mapInPandas(_pairs, "w int, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n"))
+    pairs = spread(pages).mapInPandas(_pairs, "w int, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n"))
     pairs = checkpoint(pairs.repartition("w"))  # a word's pairs in one task, so that only context vectors are averaged
     prior = np.full(BUCKETS, 1e-9)
     for k, n in pairs.groupBy("c").agg(F.sum("n")).collect():  # BUCKETS rows at most
@@ -348,7 +348,7 @@ def neighbours(words: DataFrame, frequent: int = 4, ratio: int = 6) -> DataFrame
     """(form, cands): rare words of the corpus and their frequent neighbours by one glyph edit, most frequent first.
 
     ``frequent``: so often a word must occur to be a neighbour; ``ratio``: and so many times as often as the rare form."""
-    forms = spread(words.filter((F.col("n") >= frequent) & (F.length("word") >= 2)), "word").mapInPandas(_variants, "form string, word string, n_word long")
+    forms = spread(words.filter((F.col("n") >= frequent) & (F.length("word") >= 2))).mapInPandas(_variants, "form string, word string, n_word long")
     rare = words.select(F.col("word").alias("form"), F.col("n").alias("n_form"))
     hit = forms.join(rare, "form").filter(F.col("n_word") >= ratio * F.greatest("n_form", F.lit(1)))
     return hit.groupBy("form").agg(F.sort_array(F.collect_list(F.struct((F.col("n_word") / F.greatest("n_form", F.lit(1))).alias("times"), "word")), asc=False).alias("cands"))
@@ -403,10 +403,10 @@ def misread_words(pages: DataFrame, joins: DataFrame, words: DataFrame, safe: fl
     # the most frequent words are no misread forms; leaving them out spares most of the shuffle (SKIPPED bounds the list)
     known = words.join(linked.select(F.col("form").alias("word")), "word", "left_anti").orderBy(F.desc("n"), "word").limit(SKIPPED)
     skip = frozenset(r[0] for r in known.select("word").collect())
-    tokens = spread(pages.join(by, ["file_id", "page", "h"], "left"), "file_id").mapInPandas(_rare(skip), f"file_id {kind}, page int, h long, form string, near array<int>")
+    tokens = spread(pages.join(by, ["file_id", "page", "h"], "left")).mapInPandas(_rare(skip), f"file_id {kind}, page int, h long, form string, near array<int>")
     hits = tokens.join(linked, "form")
     vin, vout = skip_gram(pages)
-    return spread(hits, "file_id").mapInPandas(_choose(vin, vout, safe), f"file_id {kind}, page int, h long, form string, word string, score double")
+    return spread(hits).mapInPandas(_choose(vin, vout, safe), f"file_id {kind}, page int, h long, form string, word string, score double")
 
 
 # ---------------------------------------------------------------- the operator

@@ -50,7 +50,7 @@ def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield pd.DataFrame({"doc": pdf["doc"], "tokens": [len(encode(t)) if t else 0 for t in pdf["text"]]})
 
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter("doc is not null")
-    return spread(docs, "doc").mapInPandas(count, f"doc {docs.schema['doc'].dataType.simpleString()}, tokens long")
+    return spread(docs).mapInPandas(count, f"doc {docs.schema['doc'].dataType.simpleString()}, tokens long")
 
 
 # ---------------------------------------------------------------- the plan

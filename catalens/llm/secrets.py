@@ -531,7 +531,7 @@ def credential_lines(documents: DataFrame, file_id: str = "file_id", content: st
     """(file_id, line_no): lines with a usable credential."""
     docs = documents.select(F.col(file_id).alias("file_id"), F.col(content).alias("content")).filter("content <> '' and file_id is not null")
     kind = docs.schema["file_id"].dataType.simpleString()
-    return spread(docs, "file_id").mapInPandas(_scan(model()), f"file_id {kind}, line_no int").distinct()
+    return spread(docs).mapInPandas(_scan(model()), f"file_id {kind}, line_no int").distinct()
 
 
 def redact(text: str, field: Field, sign: str = "*") -> tuple[str, int]:
@@ -555,5 +555,5 @@ def redacted_files(documents: DataFrame, file_id: str = "file_id", content: str
             out = pd.DataFrame({"file_id": pdf["file_id"], "content": [x[0] for x in done], "masked": [x[1] for x in done]})
             yield out[out["masked"] > 0]
 
-    return spread(docs, "file_id").mapInPandas(run, f"file_id {kind}, content string, masked long").distinct()
+    return spread(docs).mapInPandas(run, f"file_id {kind}, content string, masked long").distinct()
 

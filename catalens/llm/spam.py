@@ -121,7 +121,7 @@ def stuffed_documents(documents: DataFrame, doc_id: str = "doc_id", text: str =
     """(doc_id, stuffed): documents of which more than ``share`` is no sentences. ``part``: so much of a language's mean
     share of function words a piece needs to count as sentences."""
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter("text is not null and trim(text) <> '' and doc is not null")
-    docs = spread(docs, "doc")
+    docs = spread(docs)
     # calibration over all documents; one row for each language comes back
     means = docs.select("text").mapInPandas(_measure, "lang string, share double").filter("share > 0.1").groupBy("lang").agg(F.avg("share")).collect()
     floor = {lang: part * mean for lang, mean in means}
