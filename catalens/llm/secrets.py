@@ -1,16 +1,18 @@
 """Credentials embedded in source code, configuration and notes (problem 3).
 
-Method. Each line is lexed into tokens (strings, words, addresses with a user part, references, operators). A
+Method. Each line is lexed into tokens (strings, words, addresses with a user part, references, key markers, operators). A
 linear-chain conditional random field labels every token as secret or not, from its shape, its characters, the names
 to its left (the key it is assigned to, also the key of the line above for "value:" lines) and its neighbours. The
 Viterbi path decides which literal characters are masked; quotes, operators and all other characters stay, so the
-content remains well-formed. Blocks of private keys are spans over lines and count at their first line.
+content remains well-formed. If the field labels the marker that opens a private key, the key reaches to its closing
+marker, however long its lines are, and counts at its first line.
 
 The field is trained here, on lines that a generator writes and labels (``examples``, a bounded and documented number
-of lines); no content of the tables is used for training. Weights are a small dictionary that travels with the task.
+of lines); no content of the tables is used for training. ``python -m catalens.llm.secrets`` trains it and writes its
+weights to ``credential_field.json``, which the operator reads; a test trains it again and compares.
 
-Lines without any sign of a credential (no stem of a telling name, no user part, no literals joined by + or ., no opaque
-run of ``OPAQUE`` signs) are not lexed: the field is not trained on prose and labels capitalised words in it.
+Every line is lexed and scored. Where no token's score outweighs what a run of secrets can gain from the transitions, the
+Viterbi path holds no secret and is not computed; that changes no result.
 
 Defined results: null and empty content gives no row; repeated rows of a file give one row for a line; content is read
 whole; lines are separated by \\n and counted from 1, a trailing \\r belongs to the line's end and is kept.
@@ -18,10 +20,13 @@ whole; lines are separated by \\n and counted from 1, a trailing \\r belongs to
 
 from __future__ import annotations
 
+import json
 import math
+import os
 import random
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,17 +37,14 @@ from pyspark.sql import functions as F
 
 from catalens.session import spread
 
-OPAQUE = 16
 STEMS_POS = ("password", "passwd", "passphrase", "passwort", "pass", "pwd", "pw", "secret", "token", "apikey", "key", "credential", "credentials", "auth", "authorization", "bearer", "basic", "kennwort", "passe", "clave", "contrasena", "login", "signing", "webhook", "private")
 #: Names that end with one of these once the signs between their words are gone.
-JOINED_POS = ("apikey", "password", "passwd", "secret", "token", "kennwort", "passwort", "motdepasse")
-#: For lines in lower case: every stem anywhere (in any spelling of a name), every joined literal, addresses and opaque runs.
-SIGNAL = re.compile(
-    "|".join([w for w in STEMS_POS if not any(x != w and x in w for x in STEMS_POS)] + [r"[_.\-]*".join(w) for w in JOINED_POS])
-    + r"|contrase|mot.?de|cred|value|-----begin|://[^\s/@]*:[^\s@]*@|[\"']\s*[+.]\s*[\"']|[a-z0-9+/_.\-]{%d,}" % OPAQUE
-)
-PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+JOINED_POS = ("apikey", "password", "passwd", "secret", "token", "kennwort", "passwort", "motdepasse", "pw", "pwd")
+JOINED_FIRST = ("clave", "contrasena", "kennwort", "motdepasse", "passw")
 PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+PRIVATE_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: A line that may belong to a key whose closing marker is missing: one run of its signs, of any length, or a header of the armour.
+KEY_LINE = re.compile(r"[\s#*/\-\"'+,;]*(?:[A-Za-z0-9+/=]*|[A-Z][A-Za-z\-]{3,20}: \S.*)[\"',;+\\\s]*")
 LEX = re.compile(
     r"""(?P<url>\b[a-z][a-z0-9+.\-]*://[^\s:/@'"<>]*:)(?P<pw>[^\s@'"]+)(?=@)"""
     r"""|(?P<pem>-----(?:BEGIN|END) [A-Z0-9 ]+-----)"""
@@ -97,7 +99,7 @@ def key_class(name: str) -> str:
     """P: names a credential, N: names something else, M: something about a credential, O: neither."""
     words = subwords(name)
     joined = "".join(words)
-    pos = any(w in STEMS_POS for w in words) or joined.endswith(JOINED_POS)
+    pos = any(w in STEMS_POS for w in words) or joined.endswith(JOINED_POS) or joined.startswith(JOINED_FIRST)
     neg = any(w in STEMS_NEG for w in words) or joined in ("requestid", "sessionid")
     return "M" if pos and neg else "P" if pos else "N" if neg else "O"
 
@@ -181,9 +183,26 @@ def _own(text: str, kind: str) -> tuple[str, tuple[str, ...]]:
             f.append("three")
     if len(text) <= 3:
         f.append(f"t={text.lower()}")
+    if kind == "pem":
+        f += [f"m={w}" for w in text.strip("-").lower().split()] + (["m=opens private"] if PRIVATE_BEGIN.fullmatch(text) else [])
     return sh, tuple(f)
 
 
+OPAQUE_SHAPES = ("jwt", "prefixed", "upid", "b64", "mix")
+
+
+def _named(text: str, kind: str, sh: str) -> str:
+    """The name that a token is for those after it, empty if it is none."""
+    if kind not in ("word", "s", "tag", "url") or not (sh in ("lower", "upper", "alpha", "name", "mix", "other", "worddigits") or sh == "ref" and text.startswith(("$", "process.env."))):
+        return ""
+    return text.strip("-$<@/") if re.fullmatch(r"[-$<@/]*[A-Za-z_][\w.\-]*:?(?://[^:]*:)?", text) else ""
+
+
+def _context_features(near: str, first: str, dist: int, sh: str, ph: str) -> tuple[str, ...]:
+    """``near``: class of the nearest name; ``first``: the nearest class that tells something, ``dist`` names away."""
+    return f"k={near}", f"k+sh={near}|{sh}", f"K={first}{dist}|{sh}", f"Kc={first}|{sh}|{ph}"
+
+
 def features(line: str, tokens: list[tuple[int, int, str]], above: str = "") -> list[list[str]]:
     """``above``: the name that a "value:" line belongs to, taken from the line above."""
     out: list[list[str]] = []
@@ -198,18 +217,18 @@ def features(line: str, tokens: list[tuple[int, int, str]], above: str = "") ->
         first = next(((c, min(i, 4)) for i, c in enumerate(classes) if c != "O"), ("-", 0))
         if near == "O" and names[-1].lower() in ("value", "v", "val", "data") and above:
             near, first = f"^{key_class(above)}", (f"^{key_class(above)}", 0)
-        f += [f"k={near}", f"k+sh={near}|{sh}", f"K={first[0]}{first[1]}|{sh}", f"Kc={first[0]}|{sh}|{'ph' if 'ph' in own else ''}"]
+        f += _context_features(near, *first, sh, "ph" if "ph" in own else "")
         if names:
             f += [f"w={w}|{sh}" for w in subwords(names[-1])[-2:]]
         f += [f"p={prev_text if prev_sh == 'punct' else prev_sh}|{sh}"]
         if joined:
             f.append(f"join={joined}|{sh}")
         out.append(f)
-        if kind in ("word", "s", "tag", "url") and re.fullmatch(r"[-$<@/]*[A-Za-z_][\w.\-]*:?(?://[^:]*:)?", text) and (sh in ("lower", "upper", "alpha", "name", "mix", "other", "worddigits") or sh == "ref" and text.startswith(("$", "process.env."))):
-            names.append(text.strip("-$<@/"))
+        if new := _named(text, kind, sh):
+            names.append(new)
         # a string that is continued after + or . : the first part's shape tells about the second
         if kind == "s":
-            value, joined = ("opaque" if sh in ("jwt", "prefixed", "upid", "b64", "mix") else sh), ""
+            value, joined = ("opaque" if sh in OPAQUE_SHAPES else sh), ""
         elif kind == "op" and text in "+.":
             joined = value
         elif kind != "q":
@@ -223,88 +242,157 @@ def features(line: str, tokens: list[tuple[int, int, str]], above: str = "") ->
 
 
 class Field:
-    """A linear chain with two labels. ``weights``: feature -> (score for no secret, score for secret)."""
+    """A linear chain with two labels. ``weights``: feature -> score for secret over no secret."""
 
     def __init__(self, weights: dict[str, float], transitions: np.ndarray):
-        self.weights, self.transitions = weights, transitions
+        self.weights, self.transitions = weights, np.asarray(transitions, float)
+        t = self.transitions
+        # what a run of secrets of any length gains from transitions: so much for each token, and so much once
+        self.slack = max(0.0, float(t[1, 1] - t[0, 0])) + max(0.0, *(float(x) for x in (t[0, 1] + t[1, 0] - t[1, 1] - t[0, 0], t[1, 0] - t[1, 1], t[0, 1] - t[1, 1], t[0, 0] - t[1, 1])))
+        self.caches: tuple[dict, ...] = ({}, {}, {}, {})
 
-    def scores(self, feats: list[list[str]]) -> np.ndarray:
-        w = self.weights
-        return np.array([sum(w.get(f, 0.0) for f in fs) for fs in feats])
+    def scores(self, feats: list[list[str]]) -> list[float]:
+        get = self.weights.get
+        return [sum([get(f, 0.0) for f in fs]) for fs in feats]
 
     def decode(self, feats: list[list[str]]) -> list[int]:
+        return self.path(self.scores(feats))
+
+    def path(self, s: list[float]) -> list[int]:
         """Viterbi path; label 1 is a secret."""
-        s, t = self.scores(feats), self.transitions
-        n = len(s)
-        if not n:
+        if not s:
             return []
-        best = [(0.0, float(s[0]))]
+        (t00, t01), (t10, t11) = self.transitions.tolist()
+        a, b = 0.0, s[0]
         back: list[tuple[int, int]] = []
-        for i in range(1, n):
-            a, b = best[-1]
-            to0 = (a + t[0, 0], b + t[1, 0])
-            to1 = (a + t[0, 1], b + t[1, 1])
-            back.append((int(to0[1] > to0[0]), int(to1[1] > to1[0])))
-            best.append((max(to0), max(to1) + float(s[i])))
-        path = [int(best[-1][1] > best[-1][0])]
+        for x in s[1:]:
+            stay, drop, enter, keep = a + t00, b + t10, a + t01, b + t11
+            back.append((int(drop > stay), int(keep > enter)))
+            a, b = max(stay, drop), max(enter, keep) + x
+        path = [int(b > a)]
         for p in reversed(back):
             path.append(p[path[-1]])
         return path[::-1]
 
-
-def train(lines: list[tuple[str, str, list[tuple[int, int]]]], epochs: int = 22, rate: float = 0.4, decay: float = 1e-4, seed: int = 5) -> Field:
-    """Maximum likelihood by AdaGrad; gradients from the forward-backward recursion. lines: (text, above, secret spans)."""
-    index: dict[str, int] = {}
-    data = []
+    def line_scores(self, line: str, tokens: list[tuple[int, int, str]], above: str = "") -> list[float]:
+        """The scores of ``features``, added up from sums that are kept for tokens, contexts, names and neighbours."""
+        own, context, named, beside = self.caches
+        get = self.weights.get
+        for cache in self.caches:
+            if len(cache) > 300_000:
+                cache.clear()
+        out = []
+        name, classes, told = "", [], -1  # told: the last name that is not of class O
+        prev, joined, value, was_sign = "BOS", "", "", False
+        for a, b, kind in tokens:
+            text = line[a:b]
+            if (got := own.get((text, kind))) is None:
+                sh, feats = _own(text, kind)
+                got = (sh, "ph" if "ph" in feats else "", sum(get(f, 0.0) for f in feats), _named(text, kind, sh))
+                if len(text) <= 64:
+                    own[text, kind] = got
+            sh, ph, score, new = got
+            near = classes[-1] if classes else "-"
+            dist = len(classes) - 1 - told
+            first, dist = (classes[told], min(dist, 4)) if told >= 0 and dist < 6 else ("-", 0)
+            if near == "O" and above and name.lower() in ("value", "v", "val", "data"):
+                near = first = f"^{key_class(above)}"
+                dist = 0
+            key = (near, first, dist, sh, ph)
+            if (add := context.get(key)) is None:
+                add = context[key] = sum(get(f, 0.0) for f in _context_features(*key))
+            score += add
+            if classes:
+                if (add := named.get((name, sh))) is None:
+                    add = named[name, sh] = sum(get(f"w={w}|{sh}", 0.0) for w in subwords(name)[-2:])
+                score += add
+            if (add := beside.get((prev, joined, sh))) is None:
+                add = beside[prev, joined, sh] = get(f"p={prev}|{sh}", 0.0) + (get(f"join={joined}|{sh}", 0.0) if joined else 0.0)
+            out.append(score + add)
+            if new:
+                name = new
+                classes.append(key_class(new))
+                if classes[-1] != "O":
+                    told = len(classes) - 1
+            if kind == "s":
+                value, joined = ("opaque" if sh in OPAQUE_SHAPES else sh), ""
+            elif kind == "op" and text in "+.":
+                joined = value
+            elif kind != "q":
+                value = joined = ""
+            if not (kind == "q" and was_sign):
+                was_sign = kind in ("q", "op") or sh == "punct"
+                prev = text if was_sign else sh
+        return out
+
+    def labels(self, line: str, tokens: list[tuple[int, int, str]], above: str = "") -> list[int] | None:
+        """The Viterbi path, or None where no token outweighs the path without secrets: that needs no recursion."""
+        s = self.line_scores(line, tokens, above)
+        return self.path(s) if s and max(s) > -self.slack else None
+
+    def __getstate__(self):
+        return {**self.__dict__, "caches": ({}, {}, {}, {})}
+
+
+def train(lines: list[tuple[str, str, list[tuple[int, int]]]], epochs: int = 16, rate: float = 0.25, decay: float = 2e-4, seed: int = 5, batch: int = 48, least: int = 5) -> Field:
+    """Maximum likelihood by AdaGrad over batches of lines; gradients from the forward-backward recursion, computed for all
+    lines of a batch at once. lines: (text, name above, secret spans); a feature must occur ``least`` times."""
+    read, seen = [], Counter()
     for text, above, spans in lines:
-        toks = lex(text)
-        if not toks:
-            continue
-        y = np.array([int(any(a < e and b > s for s, e in spans) and k not in ("q",)) for a, b, k in toks])
-        ids = [np.array([index.setdefault(f, len(index)) for f in fs]) for fs in features(text, toks, above)]
-        data.append((ids, y))
+        if toks := lex(text):
+            feats = features(text, toks, above)
+            read.append((feats, np.array([float(any(a < e and b > s for s, e in spans) and k != "q") for a, b, k in toks])))
+            seen.update(f for fs in feats for f in fs)
+    index = {f: i for i, f in enumerate(f for f, c in seen.items() if c >= least)}
+    data = []
+    for feats, y in read:
+        ids = [[index[f] for f in fs if f in index] for fs in feats]
+        data.append((np.array([i for x in ids for i in x], np.int64), np.repeat(np.arange(len(ids)), [len(x) for x in ids]), y))
     w, g2 = np.zeros(len(index)), np.full(len(index), 1e-8)
     t, gt2 = np.zeros((2, 2)), np.full((2, 2), 1e-8)
-    rng = random.Random(seed)
-    calm = [0] * len(data)
-    order = list(range(len(data)))
+    rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        rng.shuffle(order)
-        for no in order:
-            if calm[no] > 1 and rng.random() < 0.7:  # lines that were sure twice are seen less often
-                continue
-            ids, y = data[no]
-            n = len(y)
-            s = np.array([w[i].sum() for i in ids])
-            e = np.zeros((n, 2))
-            e[:, 1] = s
+        order = rng.permutation(len(data))
+        order = order[np.argsort(np.array([len(data[i][2]) for i in order]) // 6, kind="stable")]  # lines of like length together
+        starts = np.arange(0, len(order), batch)
+        for at in rng.permutation(starts):
+            part = [data[i] for i in order[at : at + batch]]
+            size, most = len(part), max(len(y) for *_, y in part)
+            ids = np.concatenate([i for i, _, _ in part])
+            place = np.concatenate([tok + most * r for r, (_, tok, _) in enumerate(part)])
+            y, mask = np.zeros((size, most)), np.zeros((size, most), bool)
+            for r, (_, _, v) in enumerate(part):
+                y[r, : len(v)], mask[r, : len(v)] = v, True
+            s = np.bincount(place, w[ids], size * most).reshape(size, most)
+            e = np.stack([np.zeros_like(s), s], 2)
+            p = np.exp(e - e.max(2, keepdims=True))
+            p[~mask] = 1.0
             m = np.exp(t - t.max())
-            # forward-backward in probabilities, normalised at each step
-            p = np.exp(e - e.max(1, keepdims=True))
-            fw, bw = np.empty((n, 2)), np.ones((n, 2))
-            fw[0] = p[0] / p[0].sum()
-            for i in range(1, n):
-                x = (fw[i - 1] @ m) * p[i]
-                fw[i] = x / x.sum()
-            for i in range(n - 2, -1, -1):
-                x = m @ (p[i + 1] * bw[i + 1])
-                bw[i] = x / x.sum()
+            fw, bw = np.empty((size, most, 2)), np.ones((size, most, 2))
+            fw[:, 0] = p[:, 0] / p[:, 0].sum(1, keepdims=True)
+            for i in range(1, most):
+                x = (fw[:, i - 1] @ m) * p[:, i]
+                fw[:, i] = x / x.sum(1, keepdims=True)
+            for i in range(most - 2, -1, -1):
+                x = (p[:, i + 1] * bw[:, i + 1]) @ m.T
+                bw[:, i] = np.where(mask[:, i + 1, None], x / x.sum(1, keepdims=True), 1.0)
             post = fw * bw
-            post /= post.sum(1, keepdims=True)
-            diff = post[:, 1] - y
-            calm[no] = calm[no] + 1 if np.abs(diff).max() < 0.02 else 0
-            for i in np.flatnonzero(np.abs(diff) > 1e-3):
-                g = diff[i] + decay * w[ids[i]]
-                np.add.at(g2, ids[i], g * g)
-                np.add.at(w, ids[i], -rate * g / np.sqrt(g2[ids[i]]))
-            if n > 1:
-                pair = fw[:-1, :, None] * m[None] * (p[1:] * bw[1:])[:, None, :]
-                pair /= pair.sum((1, 2), keepdims=True)
-                g = pair.sum(0)
-                np.subtract.at(g, (y[:-1], y[1:]), 1)
-                gt2 += g * g
-                t -= 0.1 * rate * g / np.sqrt(gt2)
-    return Field({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, t)
+            post /= post.sum(2, keepdims=True)
+            diff = np.where(mask, post[:, :, 1] - y, 0.0)
+            g = np.bincount(ids, diff.reshape(-1)[place], len(w))
+            used = np.flatnonzero(g)
+            g = g[used] + decay * w[used]
+            g2[used] += g * g
+            w[used] -= rate * g / np.sqrt(g2[used])
+            if most > 1:
+                both = mask[:, 1:]
+                pair = fw[:, :-1, :, None] * m * (p[:, 1:] * bw[:, 1:])[:, :, None, :]
+                pair /= pair.sum((2, 3), keepdims=True)
+                gt = pair[both].sum(0)
+                np.subtract.at(gt, (y[:, :-1][both].astype(int), y[:, 1:][both].astype(int)), 1)
+                gt2 += gt * gt
+                t -= 0.1 * rate * gt / np.sqrt(gt2)
+    return Field({f: round(float(w[i]), 4) for f, i in index.items() if abs(w[i]) > 1e-3}, t.round(4))
 
 
 # ---------------------------------------------------------------- labelled examples
@@ -329,12 +417,12 @@ def _b64(r: random.Random, text: str) -> str:
 
 
 def _password(r: random.Random) -> str:
-    k = r.randrange(7)
+    k = r.randrange(8)
     if k == 0:
         return f"{_word(r)}{r.randint(1950, 2025)}"
     if k == 1:
         return "-".join(_word(r) for _ in range(3)) + f"-{r.randint(1, 99)}"
-    if k == 2:
+    if k in (2, 7):
         return f"{_word(r).capitalize() if r.random() < 0.6 else _word(r)}{r.choice('!?%$#*+=_')}{_word(r)}{r.randint(1, 999)}"
     if k == 3:
         s = _rand(r, r.randint(9, 17), "")
@@ -366,6 +454,22 @@ def _token(r: random.Random) -> str:
     return f"eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.{_rand(r, r.randint(30, 60))}.{_rand(r, 43, '-_')}"
 
 
+def _opaque(r: random.Random) -> str:
+    """A password that its signs alone give away."""
+    while True:
+        s = _rand(r, r.randint(9, 20), "!?%$#*+=&^~")
+        if re.search(r"[!?%$#*+=&^~].*\w", s[1:]) and not re.match(r"[#%$]", s):
+            return s
+
+
+def _argument(r: random.Random, value: str):
+    """A call with the secret among its arguments."""
+    q = r.choice("\"'")
+    form = f"{_name(r)}({q}{_word(r)}{q}, {q}{r.choice(USERS)}{q}, {q}\0{q}{r.choice((')', ');', ', ' + str(r.randint(1, 9999)) + ')'))}"
+    at = form.index("\0")
+    return form.replace("\0", value), "", [(at, at + len(value))]
+
+
 def _placeholder_value(r: random.Random) -> str:
     name = r.choice(("DB_PASSWORD", "API_TOKEN", "APP_SECRET", "SMTP_PASS", "TOKEN"))
     return r.choice((
@@ -411,7 +515,48 @@ def _split(r: random.Random, value: str, secret: bool = True):
     return form, "", [(a, a + cut), (b - len(value) + cut, b)] if secret else []
 
 
-def examples(n: int = 18_000, seed: int = 3) -> list[tuple[str, str, list[tuple[int, int]]]]:
+def _name(r: random.Random) -> str:
+    """A name as code has it, without a telling part."""
+    a, b = _word(r), _word(r)
+    return r.choice((a, a, a.capitalize() + b.capitalize(), a + b.capitalize(), f"{a}_{b}", f"{a}.{b}", f"{a}_{r.randint(1, 99)}", f"{a}{r.randint(1, 9)}", f"{a.upper()}_{b.upper()}", f"{a}-{b}", f"_{a}", f"{a}{r.randint(10, 256)}{b.capitalize()}", f"{a.capitalize()}_{b.capitalize()}{r.randint(1, 9)}"))
+
+
+def _plain_value(r: random.Random) -> str:
+    """What files hold besides credentials and checksums."""
+    n, a, b = r.randint, _word(r), _word(r)
+    return r.choice((
+        a, f"{a.capitalize()} {b}", str(n(0, 99999)), f"{n(0, 9)}.{n(0, 20)}.{n(0, 30)}", f"^{n(0, 9)}.{n(0, 20)}.{n(0, 30)}", f">={n(1, 9)}.{n(0, 9)},<{n(9, 12)}", f"{n(1950, 2030)}-{n(1, 12):02d}-{n(1, 28):02d}", f"{n(1950, 2030)}-{n(1, 12):02d}-{n(1, 28):02d}T{n(0, 23):02d}:{n(0, 59):02d}:{n(0, 59):02d}Z",
+        "%Y-%m-%d %H:%M", "%d.%m.%Y", "yyyy-MM-dd'T'HH:mm:ss", f"IMG_{n(1000, 9999)}.{r.choice(('jpg', 'JPG', 'png'))}", f"{a}_v{n(1, 9)}.{r.choice(('py', 'json', 'pdf', 'tar.gz'))}", f"#{n(0, 0xFFFFFF):06x}", f"{n(100, 9999)}x{n(100, 9999)}", f"{a}@{b}.example", f"*/{n(2, 30)} * * * *", f"0x{n(0, 0xFFFFFFFF):08X}",
+        f"^[a-z0-9_-]{{{n(2, 4)},{n(8, 32)}}}$", r"\\d{4}-[A-Z]{2}", f"[^\\s@]+@[^\\s@]+", f"{a}/{b}+{r.choice(('json', 'xml'))}", f"{n(1, 99)}%", f"{n(1, 512)}{r.choice(('px', 'ms', 'MB', 'GiB', 'd', 'rem'))}", f"/{a}/{b}/{{id}}", f"../{a}/{b}.{r.choice(('js', 'css', 'yml'))}", f"{a}:{n(1, 9)}.{n(0, 20)}-{r.choice(('alpine', 'slim', 'jammy'))}",
+        f"utf-{n(8, 32)}", f"ISO-8859-{n(1, 15)}", f"{a.capitalize()}{b.capitalize()}Error", f"{a}.{b}()", f"{n(10, 255)}.{n(0, 255)}.{n(0, 255)}.{n(1, 254)}:{n(80, 9999)}", f"h{n(200, 265)}", f"{a.upper()}{n(1, 99)}", f"{a.upper()}-{n(100, 9999)}", f"+{n(10, 99)} {n(100, 999)} {n(1000, 99999)}", f"{a[:2].upper()}{n(10, 99)} {n(1000, 9999)} {n(1000, 9999)} {n(1000, 9999)} {n(10, 99)}", f"{a}={n(1, 99)}&{b}={_word(r)}",
+    ))
+
+
+def _sentence(r: random.Random) -> str:
+    """Words as prose has them: capitals, numbers, brackets and dashes."""
+    words = []
+    for _ in range(r.randint(2, 16)):
+        w = _word(r) if r.random() < 0.6 else "".join(r.choice("etaoinshrdlucmfgäöüéèñçßåøabcß") for _ in range(r.randint(1, 11)))
+        x = r.random()
+        words.append(w.capitalize() if x < 0.25 else w.upper() if x < 0.29 else f"{w}-{_word(r)}" if x < 0.33 else f"({w})" if x < 0.36 else str(r.randint(0, 2030)) if x < 0.41 else f"{w}'s" if x < 0.43 else f"»{w}«" if x < 0.44 else f"{w}," if x < 0.54 else f"{w}/{_word(r)}" if x < 0.55 else _plain_value(r) if x < 0.6 else w)
+    text = " ".join(words)
+    return (text[:1].upper() + text[1:] if r.random() < 0.8 else text) + r.choice((".", ".", ".", "!", "?", ":", "", ";", " –", "..."))
+
+
+def _code(r: random.Random) -> str:
+    """A line of code, markup or configuration without a credential."""
+    a, b, c, v, n = _name(r), _name(r), _name(r), _plain_value(r), r.randint(0, 999)
+    q = r.choice("\"'")
+    return " " * r.choice((0, 0, 2, 4, 8)) + r.choice((
+        f"def {a}({b}, {c}={n}):", f"for {a} in {b}.{c}({n}):", f"return {a}({b}, {c})", f"import {a}.{b} as {c}", f"from {a} import {b}, {c}", f"if ({a}.{b}({c}) !== {q}{v}{q}) {{", f"SELECT {a}, {b} FROM {c} WHERE id = {n};", f"- name: {a}", f"{a}: {v}", f"{a} = {v}", f"{a}={v}", f"{a} = {q}{v}{q}", f'"{a}": "{v}",', f'"{a}": {n},', f"<{a} {b}={q}{v}{q}>{c}</{a}>",
+        f"<p>{_sentence(r)}</p>", f"// {_sentence(r)}", f"# {_sentence(r)}", f"/* {_sentence(r)} */", f" * @param {a} {_sentence(r)}", f"public {a} {b}({c} x{n}) throws {a.capitalize()} {{", f"const {a} = ({b}) => {c}({q}{v}{q});", f"{a}.{b}({q}{v}{q}, {n}, {c});", f"print(f{q}{{{a}}} {b} {{{c}}}{q})", f"echo {q}{_sentence(r)}{q} >> {a}.log", f"RUN {a} install -y {b} {c}={v}", f"FROM {a}/{b}:{v}", f"func ({a[:1]} *{a}) {b}() ({c}, error) {{",
+        f"resource {q}{a}{q} {q}{b}{q} {{", f"[{a}.{b}]", f"}} else if {a} > {n} {{", f"raise {a.capitalize()}({q}{_sentence(r)}{q})", f"let {a}: {b}<{c}> = [];", f"{a} | {b} | {n}", f"{n}. {_sentence(r)}", f"* {_sentence(r)}", f"| {a} | {v} | {n} |", f"[{a}](https://{b}.example/{c}?q={v})", f"https://{a.lower()}.example/{b}/{n}", f"@{a}({q}{v}{q})", f"assert {a} == {q}{v}{q}, {b}", f"--{a} {v} --{b}={n}", f"{a}[{q}{b}{q}] += {n}", f"INSERT INTO {a} ({b}, {c}) VALUES ({n}, '{v}');",
+        f"{r.choice(('commit', 'image:', 'sha', 'md5', 'ETag:', 'digest =', 'layer', 'build', 'rev'))} {''.join(r.choice('0123456789abcdef') for _ in range(r.choice((7, 12, 32, 40, 64))))}", f"{a}-{n}: {''.join(r.choice('0123456789abcdef') for _ in range(r.choice((32, 40, 64))))}  {b}.tar.gz", f"-----BEGIN {r.choice(('CERTIFICATE', 'PUBLIC KEY', 'RSA PUBLIC KEY', 'SSH2 PUBLIC KEY', 'CERTIFICATE REQUEST', 'PGP PUBLIC KEY BLOCK'))}-----", f"-----END {r.choice(('CERTIFICATE', 'PUBLIC KEY', 'PRIVATE KEY', 'RSA PRIVATE KEY', 'EC PRIVATE KEY'))}-----",
+        *(f"{_rand(r, 64, '+/')}",) * 4, f"{_rand(r, r.randint(9, 64), '+/')}=", f"- name: {r.choice(NEG_KEYS).upper()}", f"- name: {r.choice(POS_KEYS).upper()}", f"data:image/png;base64,{_rand(r, 80, '+/')}", "".join(r.choice("=-_*~#") for _ in range(3)) * r.randint(1, 20), f"{a}({n}, {n + 1}, {n * 2}) # {b}", f"{a.upper()}_{n} = 0x{n:04X}",
+    ))
+
+
+def examples(n: int = 36_000, seed: int = 3) -> list[tuple[str, str, list[tuple[int, int]]]]:
     """``n`` labelled lines: (text, name above, secret spans)."""
     r = random.Random(seed)
     out = []
@@ -425,7 +570,13 @@ def examples(n: int = 18_000, seed: int = 3) -> list[tuple[str, str, list[tuple[
 
     for _ in range(n):
         x, user, host, word = r.random(), r.choice(USERS), r.choice(HOSTS), _word(r)
-        if x < 0.24:
+        if r.random() < 0.36:  # what most lines are
+            out.append((_sentence(r) if r.random() < 0.3 else _code(r), "", []))
+        elif r.random() < 0.03:
+            mark = f"-----BEGIN {r.choice(('', '', 'RSA ', 'EC ', 'OPENSSH ', 'ENCRYPTED ', 'DSA ', 'PGP '))}PRIVATE KEY{r.choice(('', '', '', ' BLOCK'))}-----"
+            form = r.choice(("\0", "\0", "    \0", "# \0", "  key: '\0", 'private_key = "\0\\n', "+\0", f"{_name(r)} = \"\"\"\0", f'"{_name(r)}": "\0\\n'))
+            span(form, mark)
+        elif x < 0.24:
             value = r.choice((_password, _password, _keyed, _keyed, _token))(r)
             key = r.choice(POS_KEYS)
             if r.random() < 0.12:
@@ -438,7 +589,8 @@ def examples(n: int = 18_000, seed: int = 3) -> list[tuple[str, str, list[tuple[
         elif x < 0.58:
             out.append(_assign(r, *r.choice(ABOUT), False))
         elif x < 0.63:
-            out.append(_assign(r, r.choice(NEUTRAL), _token(r), True))
+            key = r.choice((r.choice(NEUTRAL), _name(r)))
+            out.append(_assign(r, key, r.choice((_token, _token, _opaque))(r), True) if r.random() < 0.85 else _argument(r, _opaque(r)))
         elif x < 0.67:
             out.append(_assign(r, r.choice(NEUTRAL), r.choice((neg_value(), word, str(r.randint(1, 9999)), f"https://{host}:{r.randint(1000, 9999)}/{word}?page={r.randint(1, 99)}&ref={_rand(r, 8).lower()}", f"{word}-{_word(r)}", f"registry.example/{word}:{r.randint(1, 500)}")), False))
         elif x < 0.75:
@@ -456,64 +608,111 @@ def examples(n: int = 18_000, seed: int = 3) -> list[tuple[str, str, list[tuple[
             span(r.choice((f"curl -s -H 'Authorization: {scheme} \0' https://{host}/v2/{word}", f'"hdr": "Authorization: {scheme} \0",', f"hdr = Authorization: {scheme} \0", f"# curl -H 'X-Api-Key: \0' https://{host}/{word}", f"hdr=X-Api-Key: \0", f'  "comment": "curl -H \'Authorization: {scheme} \0\' https://{host}/{word}",', f"headers = {{'X-Auth-Token': '\0'}}", f'req.Header.Set("X-Api-Key", "\0")')), value, real)
         elif x < 0.89:
             real = r.random() < 0.6
-            value = (_token(r) if r.random() < 0.25 else _password(r)) if real else r.choice((_placeholder_value(r) or "null", "null", "changed twice", "rotated in " + r.choice(("March", "May")), "kept in the safe", "not stored here"))
+            value = (r.choice((_token, lambda r: _b64(r, _password(r))))(r) if r.random() < 0.3 else _password(r)) if real else r.choice((_placeholder_value(r) or "null", "null", "changed twice", "rotated in " + r.choice(("March", "May")), "kept in the safe", "not stored here"))
             mark = r.choice(("# ", "// ", "-- ", "", "  # ", "<!-- ", "- ", "* "))
             span(mark + r.choice((f"old pw was \0", f"Login {user} / \0 (see {host})", f"login {user} with \0 until the move", f"Kennwort: \0", f"password: \0", f"The passwd for {host} is \0", f"the password of {user} is \0 for now", f"pw = \0", f"TODO rotate, currently \0", f"use token \0 for tests", f"user {user}, password \0", f"ALTER USER {user} WITH PASSWORD '\0';", f"- pwd: \0", f"mot de passe : \0", f"contrasena \0")), value, real)
-        elif x < 0.93:
+        elif x < 0.92:
             real = r.random() < 0.6
             name = r.choice(POS_KEYS if real or r.random() < 0.4 else NEG_KEYS).upper()
             neg_name = key_class(name) == "N"
             value = (r.choice((_password, _keyed, _token))(r) if real else neg_value() if neg_name else _placeholder_value(r))
             q = r.choice("\"'") if re.search(r"[^\w.\-/+]", value) or not value else r.choice(("\"", "'", ""))
             span(f"{' ' * r.randint(2, 6)}value: {q}\0{q}", value, real and bool(value), name)
-        elif x < 0.95:
+        elif x < 0.96:
             out.append(_split(r, r.choice((_token, _token, _keyed))(r)) if r.random() < 0.8 else _split(r, neg_value(), False))
         else:  # code without credentials
             out.append((r.choice((f"password = get_password({word})", f"token = os.environ['{word.upper()}_TOKEN']", f"api_key = config.api_key", f"def check_password({word}, limit=12):", f"if token == {word}.token:", f"    tokens = tokenizer.encode({word})", f"log.info(\"token expired for %s\", {word})", f"import {word}_key",
-                                    f"const apiKeyHeader = \"X-Api-Key\";", f"for key, value in {word}.items():", f"# the key is under the mat", f"return {word}.secret", f"auth: {word}", f"<token>{word}</token>" if False else f"public key {word}", f"{word}.sort(key=len)", f"print('basic {word} auth')", f"name: {word.upper()}_TOKEN", f"- name: DB_PASSWORD", f"image: registry.example/{word}:{r.randint(1, 400)}",
+                                    f"const apiKeyHeader = \"X-Api-Key\";", f"for key, value in {word}.items():", f"# the key is under the mat", f"return {word}.secret", f"auth: {word}", f"public key {word}", f"{word}.sort(key=len)", f"print('basic {word} auth')", f"name: {word.upper()}_TOKEN", f"- name: DB_PASSWORD", f"image: registry.example/{word}:{r.randint(1, 400)}",
                                     f"The key words are {word}, {_word(r)} and {_word(r)}.", f"login page of {host}", f"see https://{host}/{word}/tokens for the token list", f"echo \"{word} passed\"", f"ref={_rand(r, 24)}", f"{_rand(r, 64, '+/')}", f"{_rand(r, r.randint(9, 44), '+/')}==", f"{_rand(r, r.randint(9, 60), '+/')}=", f"{_rand(r, r.randint(9, 30), '+/')}==", f"AAAAC3NzaC1lZDI1NTE5{_rand(r, 44, '+/')} build@box")), "", []))
     return out
 
 
-@lru_cache(maxsize=2)
-def model(n: int = 18_000, seed: int = 3) -> Field:
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "credential_field.json")
+
+
+def fit(n: int = 36_000, seed: int = 3) -> Field:
     return train(examples(n, seed))
 
 
+@lru_cache(maxsize=1)
+def model() -> Field:
+    """The field as ``fit`` gives it."""
+    with open(WEIGHTS) as f:
+        stored = json.load(f)
+    return Field(stored["weights"], np.array(stored["transitions"]))
+
+
+def store(field: Field, path: str = WEIGHTS) -> None:
+    with open(path, "w") as f:
+        json.dump({"transitions": field.transitions.tolist(), "weights": dict(sorted(field.weights.items()))}, f, indent=0, ensure_ascii=False)
+
+
 # ---------------------------------------------------------------- the operator
 
 
 ABOVE = re.compile(r"^\s*-?\s*(?:name|key|id)\s*[:=]\s*[\"']?([A-Za-z_][\w.\-]*)", re.I)
 
 
+def _key_end(lines: list[str], i: int, at: int) -> tuple[int, int]:
+    """(line, position) where the private key ends that begins in line i before ``at``: at its closing marker, or after the
+    last line that may belong to it."""
+    for j in range(i, len(lines)):
+        start = at if j == i else 0
+        end, begin = PRIVATE_END.search(lines[j], start), PRIVATE_BEGIN.search(lines[j], start)
+        if end and not (begin and begin.start() < end.start()):
+            return j, end.start()
+        if begin:
+            break
+    j = i
+    if "\\n" in lines[i][at:]:  # on one line, with written line ends
+        return i, len(lines[i].rstrip("\"',; \r"))
+    while j + 1 < len(lines) and KEY_LINE.fullmatch(lines[j + 1]) and not PRIVATE_BEGIN.search(lines[j + 1]):
+        j += 1
+    return j, len(lines[j].rstrip()) if j > i else max(at, len(lines[i].rstrip("\"',; \r")))
+
+
+def _whole_values(line: str, toks: list[tuple[int, int, str]], labels: list[int]) -> list[int]:
+    """Literals joined by + or . are one value: secret if a part is."""
+    chain = [i for i in range(2, len(toks) - 2) if toks[i][2] == "op" and line[toks[i][0] : toks[i][1]] in ("+", ".") and toks[i - 2][2] == toks[i + 2][2] == "s" and toks[i - 1][2] == toks[i + 1][2] == "q"]
+    out = list(labels)
+    for i in chain:
+        out[i + 2] |= out[i - 2]
+    for i in reversed(chain):
+        out[i - 2] |= out[i + 2]
+    return out
+
+
 def spans_of(lines: list[str], field: Field) -> list[tuple[int, int, int, bool]]:
-    """(line index, start, end, head) of every secret. The lines within a private key block are whole spans without
-    head; its first line has the head and an empty span."""
+    """(line index, start, end, head) of every secret. A private key has one head, in its first line."""
     out: list[tuple[int, int, int, bool]] = []
-    i = 0
+    i, skip = 0, 0  # skip: signs of line i that belong to a key that ended there
     while i < len(lines):
         line = lines[i]
-        if not SIGNAL.search(line.lower()):
-            i += 1
-            continue
-        if m := PRIVATE.search(line):
-            end = PRIVATE_END.search(line, m.end())
-            if end or "\\n" in line[m.end() :]:  # on one line, with written line ends
-                out.append((i, m.end(), end.start() if end else len(line.rstrip("\"',; \r")), True))
-                i += 1
-                continue
-            j = i + 1
-            while j < len(lines) and not PRIVATE_END.search(lines[j]) and re.fullmatch(r"[\s#*/\-\"'+,]*[A-Za-z0-9+/=:,. \-]{0,130}[\"',;+\\ \r]*", lines[j]):
-                j += 1
-            out.append((i, m.end(), m.end(), True))
-            out += [(k, len(lines[k]) - len(lines[k].lstrip()), len(lines[k].rstrip()), False) for k in range(i + 1, j)]
-            i = j + 1
-            continue
+        toks, key = lex(line[skip:]) if skip else lex(line), None
+        if skip:
+            toks = [(a + skip, b + skip, kind) for a, b, kind in toks]
         above = m.group(1) if i and (m := ABOVE.match(lines[i - 1])) else ""
-        toks = lex(line)
-        for (a, b, kind), y in zip(toks, field.decode(features(line, toks, above))):
-            if y and kind not in ("q", "op") and b > a:
-                out.append((i, a, b, True))
+        if toks and (labels := field.labels(line, toks, above)):
+            for (a, b, kind), y in zip(toks, _whole_values(line, toks, labels)):
+                if y and kind == "pem":
+                    key = b
+                    break
+                if y and kind not in ("q", "op") and b > a:
+                    out.append((i, a, b, True))
+        skip = 0
+        if key is not None:
+            j, end = _key_end(lines, i, key)
+            if j == i:
+                out.append((i, key, end, True))
+            else:
+                out.append((i, key, max(key, len(line.rstrip("\"'\\, \r"))), True))
+                out += [(k, len(lines[k]) - len(lines[k].lstrip()), len(lines[k].rstrip()), False) for k in range(i + 1, j)]
+                if end > (start := len(lines[j]) - len(lines[j].lstrip())):
+                    out.append((j, start, end, False))
+            i, skip = j, end
+            if j > i or end >= len(lines[j].rstrip("\"',; \r")):
+                i, skip = j + 1, 0
+            continue
         i += 1
     return out
 
@@ -557,3 +756,6 @@ def redacted_files(documents: DataFrame, file_id: str = "file_id", content: str
 
     return spread(docs).mapInPandas(run, f"file_id {kind}, content string, masked long").distinct()
 
+
+if __name__ == "__main__":
+    store(fit())
