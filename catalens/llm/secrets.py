@@ -83,7 +83,7 @@ def lex(line: str) -> list[tuple[int, int, str]]:
                     walk(a, b, depth + 1)
                 out.append((b, m.end(), "q"))
             elif not (kind == "op" and m.group().isspace()):
-                out.append((m.start(), m.end(), kind))
+                out.append((m.start(), m.end(), "op" if m.group() in ("+", ".") else kind))
 
     walk(0, len(line), 0)
     return out
