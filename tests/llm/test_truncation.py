@@ -24,6 +24,20 @@ def test_cases(spark):
     assert [f"q{i}" in got for i in range(len(CASES))] == [c[1] for c in CASES]
 
 
+def test_evidence(spark):
+    """The trie speaks before the length, and both before the form; formulas and words of any length are read whole."""
+    long = "Let me know whether " + "this long closing line is what you had in mind, " * 8
+    extra = ['{"text": "stands beside the old mi', '{"text": "stands beside the', '{"text": "the old mill', f'{{"a": 1}}\n{long}', f'{{"a": 2}}\n{long}', f'{{"a": 3}}\n{long}', f'{{"a": 4}}\n{long[:300].rpartition(" ")[0]}', '{"a": 1}\nI moved the lam', '{"a": 1}\nAs asked', "w" * 300 + " is it. Here stands " + "w" * 200]
+    df = frame(spark, [(t, 64 if i == 1 else 31 + i, "output truncated at max_tokens=64" if i == 1 else None) for i, t in enumerate(extra)])
+    got = {r["id"]: r["cause"] for r in truncation.truncated(df).collect()}
+    assert got == {"q0": "word", "q1": "length", "q2": "form", "q6": "formula", "q7": "word", "q9": "word"}
+
+
+def test_piles(spark):
+    tokens = [t for t in range(90, 110) for _ in range(20)] + [100] * 80 + [None, 512] + [768] * 6
+    assert [r[0] for r in truncation.piled_up(spark.createDataFrame([(t,) for t in tokens], "tokens int")).orderBy("tokens").collect()] == [100, 768]
+
+
 def test_share_and_repeats(spark):
     df = frame(spark, ['{"a": "x', '{"a": 1}', None])
     got = truncation.truncation_share(df.union(df)).collect()
