@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from catalens.llm import leakage
 
@@ -35,6 +36,26 @@ def test_long_documents_and_repeats(spark):
     assert [(r["doc_id"], r["item_id"], r["at"], r["words"]) for r in got] == [(1, 9, 50_000, 40)]
 
 
+def test_words_put_in_and_left_out(spark):
+    docs = [
+        " ".join(W[:12] + ["extra"] + W[12:24]), " ".join(W[:12] + W[13:26]), " ".join(W[:9] + ["extra", "words", "here", "and", "there"] + W[9:18]), " ".join(W[:12] + ["w12", "x"] + W[13:26]),
+        " ".join(W[:4] + ["a"] + W[4:8] + ["b"] + W[8:12] + ["c"] + W[12:16] + ["d"] + W[16:20]), " ".join(W[0:9] + ["mid"] + W[59:68]),
+    ]
+    assert run(spark, docs) == {(0, 1), (1, 1), (3, 1)}
+
+
+def test_without_broadcast(spark):
+    df = spark.createDataFrame([(1, "x " + ITEM, None, None), (2, "nothing of it", None, None)], DOCS)
+    got = leakage.leaks(df, spark.createDataFrame([(9, ITEM, None)], ITEMS), broadcast_terms=0).collect()
+    assert [tuple(r) for r in got] == [(1, 9, 1, 40)]
+
+
+def test_block_size():
+    assert leakage.block_size(18, 8) == 4 and leakage.block_size(40, 8) == 5
+    with pytest.raises(ValueError):
+        leakage.block_size(8, 2)
+
+
 def test_empty(spark):
     assert run(spark, []) == set()
     assert leakage.leaks(spark.createDataFrame([(1, ITEM, None, None)], DOCS), spark.createDataFrame([], ITEMS)).count() == 0
